@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,9 +46,11 @@ def tasks_for(df: DataFrame, target_bytes: int, least: int = 1, factor: float =
     return max(least, min(1 << 20, int(size * factor / target_bytes) + 1))
 
 
-def clean_words(col: Column) -> Column:
-    """Lower case and single spaces: what the word n-grams are taken from."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"(?U)\s+", " "))
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch of texts holds, where the session sets no bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("bB") or 0) > 16 << 20:
+        spark.conf.set(name, str(16 << 20))
 
 
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
@@ -107,9 +109,25 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: bytes, piece: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash, end offset) of each word of data, in which one space (byte 32)
-    follows every word."""
+    follows every word. Worked off in pieces that end at a space, so that the
+    temporary arrays stay small however long data is."""
+    if len(data) > piece:
+        hashes, ends, at = [], [], 0
+        while at < len(data):
+            to = len(data) if at + piece >= len(data) else data.rfind(b" ", at, at + piece) + 1
+            if to <= at:
+                to = data.index(b" ", at) + 1
+            h, e = _word_hashes(data[at:to])
+            hashes.append(h)
+            ends.append(e + at)
+            at = to
+        return np.concatenate(hashes), np.concatenate(ends)
+    return _word_hashes(data)
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(b == 32)
     up, down = powers(len(b) + 1)
@@ -123,6 +141,14 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((total[ends] - total[starts]) * down[starts]), ends
 
 
+def texts_to_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, and how many each text has."""
+    words = [t.lower().split() for t in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    data = b" ".join(" ".join(w).encode("utf-8", "replace") for w in words if w)
+    return word_hashes(data + b" " if data else b"")[0], counts
+
+
 def chunks(texts: list[str], most: int):
     """(first, last) of runs of texts with about `most` characters each; a longer
     text is a run of its own, whole."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, packing, sharding
+from . import chat, exact_dedup, ngram_join, packing, sharding
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_sharding": sharding.op1_sharding,
         "op3_packing": packing.op3_packing,
         "op4_chat_format": chat.op4_chat_format,
+        "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
@@ -18,5 +19,6 @@ def oracle_sql():
     return {
         "op1_sharding": sharding.SQL,
         "op4_chat_format": chat.SQL,
+        "op5_ngram_jaccard": ngram_join.SQL,
         "op8_exact_dedup": exact_dedup.SQL,
     }
