@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, ngram_join, packing, sharding
+from . import bpe, chat, exact_dedup, ngram_join, packing, quality, sharding
 
 
 def queries():
@@ -11,6 +11,8 @@ def queries():
         "op3_packing": packing.op3_packing,
         "op4_chat_format": chat.op4_chat_format,
         "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
+        "op6_quality": quality.op6_quality,
+        "op7_bpe": bpe.op7_bpe,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
