@@ -75,7 +75,7 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = stored(keyed, "shard-keys")
     out = []
     for leaves, bits in _rounds(keyed, max_bytes):
-        at = keyed.withColumn("cell", _prefix("hash", bits)).join(small(leaves, 40), "cell")
+        at = keyed.withColumn("cell", _prefix("hash", bits)).join(small(leaves, 128), "cell")
         out.append(at.select("id", F.expr(f"substring(lpad(bin(hash), {BITS}, '0'), 1, shard_depth)").alias("shard"), "shard_depth", "shard_bytes", "oversized"))
     first = out[0]
     for more in out[1:]:
