@@ -109,7 +109,7 @@ def _tries(limit: int):
             out.append((i, None, True, key[0], key[1], path, body))
 
         def close():
-            out.extend((i, trie.find(body), False, None, None, None, None) for i, body in held)
+            out.extend((i, trie.find(body), False, None, key[1], None, None) for i, body in held)
             held.clear()
 
         for batch in batches:
@@ -146,9 +146,33 @@ def _batch(rows):
     return pa.RecordBatch.from_pylist([dict(zip(_OUT.names, r)) for r in rows], schema=_OUT)
 
 
+def _shaped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    return base.select("id", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"), "text")
+
+
+def _parts(base: DataFrame) -> DataFrame:
+    """Length and hash of the texts that more than one row may share."""
+    return stored(base.groupBy("n", "h").agg(F.count("*").alias("k"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("k > 1").select("n", "h", F.expr("lo < hi").alias("ids")), "dedup-parts")
+
+
+def _owners(base: DataFrame, parts: DataFrame, trie_bytes: int) -> DataFrame:
+    rows = base.join(small(parts.where("ids"), 32), ["n", "h"], "left_semi").select("id", "n", "h", F.lit(b"").alias("path"), F.encode("text", "utf-8").alias("body"))
+    found = None
+    while True:
+        # equal (n, h, path) meet in one partition, sorted; the sort spills in Spark
+        parted = rows.repartition("n", "h", "path").sortWithinPartitions("n", "h", "path")
+        done = stored(parted.mapInArrow(_tries(trie_bytes), _OUT_SPARK), "dedup-owners")
+        settled = done.where("NOT left").select("id", "h", "owner")
+        found = settled if found is None else found.union(settled)
+        rows = done.where("left").select("id", "n", "h", "path", "body")
+        if rows.isEmpty():
+            return found.where("id <> owner").distinct()
+
+
 def owners(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """(id, owner): each row whose text occurs in a row with a smaller identifier,
-    with the smallest identifier of that text.
+    """(id, h, owner): each row whose text occurs in a row with a smaller identifier,
+    with the smallest identifier of that text; h is the hash of the text.
 
     Rows are parted by byte length and a 64-bit hash of the content. Parts of one
     row need no text and drop out on the narrow columns; the others insert their
@@ -162,34 +186,28 @@ def owners(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_b
     identifier with one text count once. An empty table gives no rows. Texts of any
     length are compared whole; other columns are not read.
     """
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    base = base.select("id", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"), "text")
-    narrow = base.groupBy("n", "h").agg(F.count("*").alias("k"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("k > 1 AND lo < hi").select("n", "h")
-    narrow = stored(narrow, "dedup-keys")
-    rows = base.join(small(narrow, 32), ["n", "h"], "left_semi").select("id", "n", "h", F.lit(b"").alias("path"), F.encode("text", "utf-8").alias("body"))
-    found = None
-    while True:
-        # equal (n, h, path) meet in one partition, sorted; the sort spills in Spark
-        parted = rows.repartition("n", "h", "path").sortWithinPartitions("n", "h", "path")
-        done = stored(parted.mapInArrow(_tries(trie_bytes), _OUT_SPARK), "dedup-owners")
-        settled = done.where("NOT left").select("id", "owner")
-        found = settled if found is None else found.union(settled)
-        rows = done.where("left").select("id", "n", "h", "path", "body")
-        if rows.isEmpty():
-            return found.where("id <> owner").distinct()
+    base = _shaped(df, id_col, text_col)
+    return _owners(base, _parts(base), trie_bytes)
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """df without the rows that owners() gives, all columns kept. Of rows that repeat
-    an identifier and a text, one stays only if they are equal in all columns'
-    dedup key (identifier and text); rows with null text or identifier stay."""
-    away = stored(owners(df, id_col, text_col, trie_bytes).select(F.col("id").alias("_dup_id"), F.col("owner").alias("_dup_owner")), "dedup-away")
-    return df.join(small(away.select("_dup_id").distinct(), 16), df[id_col].cast("long") == F.col("_dup_id"), "left_anti")
+    """df with one row of each text, that of the smallest identifier; all columns are
+    kept. Of rows that repeat an identifier and a text one stays, whichever; rows with
+    a null text or identifier all stay."""
+    base = _shaped(df, id_col, text_col)
+    parts = _parts(base)
+    away = stored(_owners(base, parts, trie_bytes).select(F.col("id").alias("_x_id"), F.col("h").alias("_x_h")), "dedup-away")
+    key = parts.select(F.col("n").alias("_x_n"), F.col("h").alias("_x_h"))
+    shared = (F.octet_length(df[text_col]) == F.col("_x_n")) & (F.xxhash64(df[text_col]) == F.col("_x_h")) & df[id_col].isNotNull()
+    alone = df.join(small(key, 32), shared, "left_anti")
+    among = df.join(small(key, 32), shared, "left_semi")
+    kept = among.join(small(away, 32), (among[id_col].cast("long") == F.col("_x_id")) & (F.xxhash64(among[text_col]) == F.col("_x_h")), "left_anti")
+    return alone.unionByName(kept.dropDuplicates([id_col, text_col]))
 
 
 def op8_exact_dedup(spark, sf_dir):
     found = owners(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), F.col("owner").alias("owner_id"))
+    return found.select(F.col("id").alias("doc_id"), F.col("owner").alias("owner_id")).distinct()
 
 
 SQL = """
