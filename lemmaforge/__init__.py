@@ -1,0 +1 @@
+"""Contextual Hebrew lemmatization and search preparation on Spark DataFrames."""
