@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators.bank import load_bank
+from .operators.bank import bank_meta, load_bank
 from .operators.encode import HashEncoder
 from .operators.router import miss_worklist
 from .plans.lemmatizer import Lemmatizer
@@ -32,7 +32,8 @@ def main(argv: list[str] | None = None) -> int:
         p.error("give texts or --csv")
     spark = SparkSession.builder.appName("lemmaforge").getOrCreate()
     scripts = script_inventory(spark, a.scripts) if a.scripts else None
-    lem = Lemmatizer(load_bank(spark, a.bank), HashEncoder(scripts=scripts.count() if scripts else None), scripts, use_router=not a.no_router, cov_thresh=a.cov_thresh)
+    bank = load_bank(spark, a.bank)
+    lem = Lemmatizer(bank, HashEncoder(bank_meta(bank).first()["embedding_dim"], scripts.count() if scripts else None), scripts, use_router=not a.no_router, cov_thresh=a.cov_thresh)
     if a.csv:
         rows = batch_csv(spark, a.csv[0]).withColumn("row_id", F.monotonically_increasing_id())
         pred = lem.lemmatize(rows)

@@ -411,7 +411,7 @@ def miss_log(spark, d):
     return router.miss_log(predictions(spark, d).drop("doc_id"), min_sim=0.1)
 
 
-@query(f"""WITH {S_PRED}, rn AS (SELECT wordform, predicted_pos, reason, row_number() OVER (PARTITION BY wordform, predicted_pos ORDER BY count(*) DESC, reason) AS k FROM ms GROUP BY ALL)
+@query(f"""WITH {S_PRED}, rn AS (SELECT wordform, predicted_pos, reason, row_number() OVER (PARTITION BY wordform, predicted_pos ORDER BY count(*) DESC, reason) AS k FROM ms GROUP BY wordform, predicted_pos, reason)
 SELECT ms.wordform, ms.predicted_pos, count(*) AS count, arg_min(predicted_lemma, row_id) AS predicted_lemma, arg_min(retrieved_lemma, row_id) AS retrieved_lemma,
   round(avg(coverage), 6) AS mean_coverage, round(avg(sim), 6) AS mean_sim, any_value(rn.reason) AS reason
 FROM ms JOIN rn ON rn.wordform = ms.wordform AND rn.predicted_pos = ms.predicted_pos AND k = 1 GROUP BY ms.wordform, ms.predicted_pos""")

@@ -15,12 +15,12 @@ SPLITS = {"train": "train", "dev": "dev", "test": "test", "ood": "ood", "oov": "
 def text_docs(spark: SparkSession, path: str, files_glob: str = "*.txt", recursive: bool = True) -> DataFrame:
     """(rel_path, path, text) of one file or of the files of a folder, line ends as
     \\n. Paths are told apart from raw text by the caller, never by guessing."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     single = os.path.isfile(path)
     if not single:
         reader = reader.option("pathGlobFilter", files_glob).option("recursiveFileLookup", recursive)
     root = os.path.abspath(path) if "://" not in path else path
-    rows = reader.text(path).select("value", F.url_decode(F.regexp_replace(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")), "^file:/*", "/")).alias("path"))
+    rows = reader.text(path, wholetext=True).select("value", F.url_decode(F.regexp_replace(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")), "^file:/*", "/")).alias("path"))
     rel = F.element_at(F.split("path", "/"), -1) if single else F.substring(F.col("path"), len(root.rstrip("/")) + 2, 1 << 20)
     return rows.select(rel.alias("rel_path"), "path", F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
