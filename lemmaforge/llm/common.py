@@ -149,12 +149,12 @@ def texts_to_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data + b" " if data else b"")[0], counts
 
 
-def chunks(texts: list[str], most: int):
-    """(first, last) of runs of texts with about `most` characters each; a longer
-    text is a run of its own, whole."""
+def chunks(texts: list[str], most: int, rows: int = 1 << 30):
+    """(first, last) of runs of texts with about `most` characters and at most `rows`
+    texts each; a longer text is a run of its own, whole."""
     at = size = 0
     for i, t in enumerate(texts):
-        if i > at and size + len(t) > most:
+        if i > at and (size + len(t) > most or i - at >= rows):
             yield at, i
             at, size = i, 0
         size += len(t)

@@ -6,15 +6,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, chunks, components, mix, small_batches, stored, table, tasks_for, texts_to_words
+from .common import MULT, chunks, components, mix, small, small_batches, stored, table, tasks_for, texts_to_words
 
 N = 4
 THRESHOLD = 0.4
-BLOCK = 512
+BLOCK = 2048
 PARTS = 4
+HEAVY = 32
 
 _BIN = "binary"
 
@@ -58,33 +60,59 @@ def _binaries(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-_SEG = pa.schema([("frag", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
+def _pack7(gram: np.ndarray) -> bytes:
+    """The low 56 bits of each hash; the fragment implies the leading bits."""
+    return gram.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _unpack7(data: np.ndarray, frag: int, bits: int) -> np.ndarray:
+    out = np.zeros((len(data) // 7, 8), np.uint8)
+    out[:, :7] = data.reshape(-1, 7)
+    return out.view(np.uint64).ravel() | (np.uint64(frag) << np.uint64(64 - bits))
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Counts in two bytes each if they fit, else in four."""
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _widen(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int64)
+
+
+_SEG = pa.schema([("frag", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
 
 
 def _segments(n: int, bits: int):
     """Cut the n-grams of every document at the fragments of the hash order; one row
-    holds what a chunk of documents has in one fragment."""
+    holds what a chunk of documents has in one fragment. Within a chunk documents are
+    numbered; a document's key is the digest of its chunk's rows and its number, which
+    every run of the task finds again. One more row for each chunk, under a negative
+    fragment, tells the identifiers."""
 
     def run(batches):
         for batch in batches:
-            keys, texts = batch.column("key").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
-            for a, b in chunks(texts, 3 << 20):
+            hashes, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "id"))
+            texts = batch.column("text").to_pylist()
+            for a, b in chunks(texts, 3 << 20, 60_000):
                 doc, gram = grams_of(texts[a:b], n)
-                sizes = np.bincount(doc, minlength=b - a).astype(np.int32)
-                frag = (gram >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(gram), np.int64)
+                sizes = np.bincount(doc, minlength=b - a)
+                digest = mix(hashes[a:b].view(np.uint64) + MULT[0] * np.arange(b - a, dtype=np.uint64)).sum(dtype=np.uint64)
+                chunk = int(mix(np.array([digest]))[0] >> np.uint64(17))
+                frag = (gram >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.argsort(frag, kind="stable")
                 doc, gram, frag = doc[order], gram[order], frag[order]
-                starts, lengths = _runs(frag)
                 rows: dict = {f.name: [] for f in _SEG}
-                for s, m in zip(starts, lengths):
-                    part = doc[s : s + m]
-                    at, counts = _runs(part)
-                    own = part[at]
-                    rows["frag"].append(int(frag[s]))
-                    rows["keys"].append(keys[a:b][own].tobytes())
-                    rows["sizes"].append(sizes[own].tobytes())
-                    rows["counts"].append(counts.astype(np.int32).tobytes())
-                    rows["grams"].append(gram[s : s + m].tobytes())
+
+                def add(*values):
+                    for f, v in zip(_SEG, values):
+                        rows[f.name].append(v)  # noqa: B023
+
+                add(-1 - (chunk & ((1 << bits) - 1)), chunk, np.arange(b - a, dtype=np.uint16).tobytes(), b"", b"", ids[a:b].astype(np.int64).tobytes())
+                for s, m in zip(*_runs(frag)):
+                    at, counts = _runs(doc[s : s + m])
+                    own = doc[s : s + m][at]
+                    add(int(frag[s]), chunk, own.astype(np.uint16).tobytes(), _narrow(sizes[own]), _narrow(counts), _pack7(gram[s : s + m]))
                 yield _binaries(rows, _SEG)
 
     return run
@@ -94,61 +122,77 @@ def _joined(t: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()] or [np.zeros(0, kind)])
 
 
-_SHARED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("dfs", pa.binary())])
+_SHARED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("dfs", pa.binary()), ("ids", pa.binary())])
 
 
-def _shared(buckets: int):
+def _shared(buckets: int, bits: int):
     """In one fragment, which holds all occurrences of its n-grams: count documents
     of each n-gram and keep those of two or more, sorted by document again."""
 
     def run(t: pa.Table) -> pa.Table:
-        keys, sizes, counts = _joined(t, "keys", np.int64), _joined(t, "sizes", np.int32), _joined(t, "counts", np.int32).astype(np.int64)
-        gram = _joined(t, "grams", np.uint64)
+        frag, docs = t.column("frag")[0].as_py(), t.column("docs").to_pylist()
+        own = np.concatenate([np.frombuffer(d, np.uint16) for d in docs])
+        keys = np.repeat(t.column("chunk").to_numpy(), [len(d) // 2 for d in docs]) << 16 | own
         _, first = np.unique(keys, return_index=True)
-        if len(first) < len(keys):  # rows repeated as a whole count once
+        rows: dict = {f.name: [] for f in _SHARED}
+        bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        if frag < 0:
+            ids = _joined(t, "grams", np.int64)[first]
+            order = first[np.argsort(bucket[first], kind="stable")]
+            ids = ids[np.argsort(bucket[first], kind="stable")]
+            for s, m in zip(*_runs(bucket[order])):
+                for name in _SHARED.names:
+                    rows[name].append(b"")
+                rows["bucket"][-1], rows["keys"][-1], rows["ids"][-1] = int(bucket[order[s]]), keys[order[s : s + m]].tobytes(), ids[s : s + m].tobytes()
+            return pa.Table.from_batches([_binaries(rows, _SHARED)])
+        sizes, counts = (np.concatenate([_widen(x, len(d) // 2) for x, d in zip(t.column(c).to_pylist(), docs)]) for c in ("sizes", "counts"))
+        gram = _unpack7(_joined(t, "grams", np.uint8), frag, bits)
+        if len(first) < len(keys):  # a chunk repeated row by row counts once
             keep = np.zeros(len(keys), bool)
             keep[first] = True
             gram = gram[np.repeat(keep, counts)]
-            keys, sizes, counts = keys[keep], sizes[keep], counts[keep]
+            keys, sizes, counts, bucket = keys[keep], sizes[keep], counts[keep], bucket[keep]
         order = np.argsort(gram)
-        starts, df = _runs(gram[order])
-        each = np.zeros(len(gram), np.int32)
-        each[order] = np.repeat(df, df)
-        run_of = np.repeat(np.arange(len(keys)), counts)
+        _, df = _runs(gram[order])
+        each = np.zeros(len(gram), np.uint8)
+        each[order] = np.repeat(np.minimum(df, 255).astype(np.uint8), df)
+        del order
         keep = each > 1
-        run_of, gram, each = run_of[keep], gram[keep], each[keep]
-        own = np.bincount(run_of, minlength=len(keys))
-        bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        run_of = np.repeat(np.arange(len(keys), dtype=np.int32), counts)[keep]
+        gram, each = gram[keep], each[keep]
         by = np.argsort(bucket[run_of], kind="stable")
         run_of, gram, each = run_of[by], gram[by], each[by]
-        rows: dict = {f.name: [] for f in _SHARED}
         for s, m in zip(*_runs(bucket[run_of])):
             at, n = _runs(run_of[s : s + m])
-            docs = run_of[s : s + m][at]
-            rows["bucket"].append(int(bucket[docs[0]]))
-            rows["keys"].append(keys[docs].tobytes())
-            rows["sizes"].append(sizes[docs].tobytes())
-            rows["counts"].append(n.astype(np.int32).tobytes())
-            rows["grams"].append(gram[s : s + m].tobytes())
-            rows["dfs"].append(each[s : s + m].tobytes())
-        del own
+            d = run_of[s : s + m][at]
+            values = (int(bucket[d[0]]), keys[d].tobytes(), _narrow(sizes[d]), _narrow(n), gram[s : s + m].tobytes(), each[s : s + m].tobytes(), b"")
+            for name, v in zip(_SHARED.names, values):
+                rows[name].append(v)
         return pa.Table.from_batches([_binaries(rows, _SHARED)])
 
     return run
 
 
-_LIVE = pa.schema([("key", pa.int64()), ("size", pa.int32()), ("prefix", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("grams", pa.binary())])
+_LIVE = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("prefix", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("grams", pa.binary())])
 
 
 def _live(threshold: float):
     """Sum the partial counts of each document. A partner at the threshold shares at
     least threshold x size n-grams, so documents with fewer shared ones are out. The
     others get their shared n-grams in the global order (frequency, hash) and the
-    length of the prefix in which any partner must meet them."""
+    length of the prefix in which any partner must meet them. Frequencies above 255
+    are alike in that order."""
 
     def run(t: pa.Table) -> pa.Table:
-        keys, sizes, counts = _joined(t, "keys", np.int64), _joined(t, "sizes", np.int32), _joined(t, "counts", np.int32).astype(np.int64)
-        gram, df = _joined(t, "grams", np.uint64), _joined(t, "dfs", np.int32)
+        ids = _joined(t, "ids", np.int64)
+        names = t.filter(pa.compute.greater(pa.compute.binary_length(t.column("ids")), 0))
+        t = t.filter(pa.compute.equal(pa.compute.binary_length(t.column("ids")), 0))
+        name = _joined(names, "keys", np.int64)
+        order = np.argsort(name)
+        name, ids = name[order], ids[order]
+        keys, n = _joined(t, "keys", np.int64), [len(x) // 8 for x in t.column("keys").to_pylist()]
+        sizes, counts = (np.concatenate([_widen(x, k) for x, k in zip(t.column(c).to_pylist(), n)] or [np.zeros(0, np.int64)]) for c in ("sizes", "counts"))
+        gram, df = _joined(t, "grams", np.uint64), _joined(t, "dfs", np.uint8)
         own, back = np.unique(keys, return_inverse=True)
         shared = np.bincount(back, weights=counts, minlength=len(own)).astype(np.int64)
         size = np.zeros(len(own), np.int32)
@@ -165,6 +209,7 @@ def _live(threshold: float):
             d, g = doc[s], gram[s : s + m]
             whole = m == size[d]
             rows["key"].append(int(own[d]))
+            rows["id"].append(int(ids[np.searchsorted(name, own[d])]))
             rows["size"].append(int(size[d]))
             rows["prefix"].append(int(m - need[d] + 1))
             rows["sig1"].append(int(g.sum(dtype=np.uint64).view(np.int64)) if whole else None)
@@ -175,20 +220,27 @@ def _live(threshold: float):
     return run
 
 
-_PRE = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("grams", pa.binary())])
+_PRE = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
 
 
 def _prefixes(bits: int):
     def run(batches):
         for batch in batches:
             grams = [np.frombuffer(g, np.uint64)[:p] for g, p in zip(batch.column("grams").to_pylist(), batch.column("prefix").to_pylist())]
-            keys = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), [len(g) for g in grams])
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(keys)), [len(g) for g in grams])
             gram = np.concatenate(grams or [np.zeros(0, np.uint64)])
             bucket = (gram >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(gram), np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket, gram, keys = bucket[order], gram[order], keys[order]
-            starts, lengths = _runs(bucket)
-            yield _binaries({"bucket": [int(bucket[s]) for s in starts], "keys": [keys[s : s + m].tobytes() for s, m in zip(starts, lengths)], "grams": [gram[s : s + m].tobytes() for s, m in zip(starts, lengths)]}, _PRE)
+            bucket, gram, owner = bucket[order], gram[order], owner[order]
+            rows: dict = {f.name: [] for f in _PRE}
+            for s, m in zip(*_runs(bucket)):
+                at, counts = _runs(owner[s : s + m])
+                rows["bucket"].append(int(bucket[s]))
+                rows["keys"].append(keys[owner[s : s + m][at]].tobytes())
+                rows["counts"].append(counts.astype(np.int32).tobytes())
+                rows["grams"].append(gram[s : s + m].tobytes())
+            yield _binaries(rows, _PRE)
 
     return run
 
@@ -199,6 +251,7 @@ _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def _stars(t: pa.Table) -> pa.Table:
     """Documents that meet in a prefix n-gram hang on the smallest of them."""
     keys, gram = _joined(t, "keys", np.int64), _joined(t, "grams", np.uint64)
+    keys = np.repeat(keys, _joined(t, "counts", np.int32))
     order = np.argsort(gram)
     keys, gram = keys[order], gram[order]
     starts, lengths = _runs(gram)
@@ -207,31 +260,27 @@ def _stars(t: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, schema=_EDGE)
 
 
-_CELL = pa.schema([("cell", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.int32()), ("key", pa.int64()), ("root", pa.int64()), ("block", pa.int32()), ("size", pa.int32()), ("grams", pa.binary())])
+_CELL = pa.schema([("cell", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("root", pa.int64()), ("block", pa.int32()), ("size", pa.int32()), ("ids", pa.binary()), ("grams", pa.binary())])
 
 
-def _cells(buckets: int, parts: int, block: int):
-    """Send each document's n-grams of each part to the cells in which its component
-    is counted: one of several small components, or a pair of blocks of a large one."""
+def _cells(buckets: int, block: int):
+    """Send each document to the cells in which its component is counted: one of
+    several small components, or a pair of blocks of a large one."""
 
     def run(batches):
         for batch in batches:
             rows: dict = {f.name: [] for f in _CELL}
-            for key, size, grams, root, m, rank in zip(*(batch.column(c).to_pylist() for c in ("key", "size", "grams", "root", "m", "rank"))):
-                g = np.frombuffer(grams, np.uint64)
-                part = (mix(g) % np.uint64(parts)).astype(np.int64)
+            for ids, size, grams, root, m, rank in zip(*(batch.column(c).to_pylist() for c in ("ids", "size", "grams", "root", "m", "rank"))):
                 own, blocks = (rank - 1) // block, (m - 1) // block + 1
                 if blocks == 1:
                     to = [(int(mix(np.array([root], np.int64).view(np.uint64))[0] % np.uint64(buckets)), -1, -1)]
                 else:
                     to = [(root, min(own, o), max(own, o)) for o in range(blocks)]
-                for p in range(parts):
-                    seg = g[part == p].tobytes()
-                    if seg:
-                        for cell, i, j in to:
-                            for name, x in zip(_CELL.names, (cell, i, j, p, key, root, own, size, seg)):
-                                rows[name].append(x)
-                if len(rows["cell"]) > 20000:
+                packed = np.array(ids, np.int64).tobytes()
+                for cell, i, j in to:
+                    for name, x in zip(_CELL.names, (cell, i, j, root, own, size, packed, grams)):
+                        rows[name].append(x)
+                if len(rows["cell"]) > 5000:
                     yield _binaries(rows, _CELL)
                     rows = {f.name: [] for f in _CELL}
             yield _binaries(rows, _CELL)
@@ -239,91 +288,87 @@ def _cells(buckets: int, parts: int, block: int):
     return run
 
 
-_PART = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int32()), ("size_b", pa.int32()), ("n", pa.int32())])
-
-
-def _dense(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
-    """Counts of common n-grams between documents, by blocked 0/1 matrix products."""
-    ids, back = np.unique(np.concatenate(left + (right or [])), return_inverse=True)
-
-    def rows(segs, at):
-        return np.repeat(np.arange(len(segs)), [len(s) for s in segs]), back[at : at + sum(map(len, segs))]
-
-    lr, lc = rows(left, 0)
-    rr, rc = rows(right, sum(map(len, left))) if right is not None else (lr, lc)
-    out = np.zeros((len(left), len(right if right is not None else left)), np.float32)
-    for c in range(0, len(ids), 2048):
-        x = np.zeros((len(left), 2048), np.float32)
-        k = (lc >= c) & (lc < c + 2048)
-        x[lr[k], lc[k] - c] = 1
-        if right is None:
-            y = x
-        else:
-            y = np.zeros((len(right), 2048), np.float32)
-            k = (rc >= c) & (rc < c + 2048)
-            y[rr[k], rc[k] - c] = 1
-        out += x @ y.T
-    return out
-
-
-def _partials(dense_from: int = 48):
+_PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("overlap", pa.int32()), ("jaccard", pa.float64())])
+
+
+def _counts(docs: np.ndarray, comp: np.ndarray, segs: list, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n): pairs of one component and their common n-grams. The hash order is
+    cut into fragments that are counted apart from each other; partial counts are
+    summed per pair. An n-gram of few documents lists its pairs; those of HEAVY
+    documents or more are the columns of a 0/1 matrix whose square has the counts."""
+    total = len(segs)
+    lengths = np.array([len(segs[x]) for x in docs])
+    gram, doc, of = np.concatenate([segs[x] for x in docs]), np.repeat(docs, lengths), np.repeat(comp, lengths)
+    fragment = mix(gram) % np.uint64(parts)
+    codes, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for f in range(parts):
+        at = np.flatnonzero(fragment == f)
+        at = at[np.lexsort((doc[at], gram[at], of[at]))]
+        g, d, o = gram[at], doc[at], of[at]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (o[1:] != o[:-1])
+        starts = np.flatnonzero(new)
+        n = np.diff(np.append(starts, len(g)))
+        found = []
+        for k in np.unique(n[(n > 1) & (n < HEAVY)]):
+            group = d[starts[n == k][:, None] + np.arange(k)]
+            x, y = np.triu_indices(k, 1)
+            found.append((group[:, x] * total + group[:, y]).ravel())
+        if found:
+            code, c = np.unique(np.concatenate(found), return_counts=True)
+            codes.append(code)
+            sums.append(c)
+        heavy = np.flatnonzero(n >= HEAVY)
+        for s, m in zip(*_runs(o[starts[heavy]])):
+            cols = heavy[s : s + m]
+            size = n[cols]
+            col, inside = _expand(size)
+            member = d[starts[cols][col] + inside]
+            own, row = np.unique(member, return_inverse=True)
+            square = np.zeros((len(own), len(own)), np.float32)
+            for lo in range(0, m, 1024):
+                part = (col >= lo) & (col < lo + 1024)
+                x = np.zeros((len(own), min(1024, m - lo)), np.float32)
+                x[row[part], col[part] - lo] = 1
+                square += x @ x.T
+            a, b = np.nonzero(np.triu(square, 1))
+            codes.append(own[a] * total + own[b])
+            sums.append(square[a, b].astype(np.int64))
+    code, back = np.unique(np.concatenate(codes), return_inverse=True)
+    return code // total, code % total, np.bincount(back, weights=np.concatenate(sums), minlength=len(code)).astype(np.int64)
+
+
+def _overlaps(threshold: float, parts: int):
     def run(t: pa.Table) -> pa.Table:
-        key, root, block, size = (t.column(c).to_numpy() for c in ("key", "root", "block", "size"))
+        root, block, size = (t.column(c).to_numpy() for c in ("root", "block", "size"))
         segs = [np.frombuffer(g, np.uint64) for g in t.column("grams").to_pylist()]
+        ids = [np.frombuffer(x, np.int64) for x in t.column("ids").to_pylist()]
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        found = []
-        if i >= 0:
-            left = np.flatnonzero(block == i)
-            if i == j:
-                c = np.triu(_dense([segs[x] for x in left], None), 1)
-                right = left
-            else:
-                right = np.flatnonzero(block == j)
-                c = _dense([segs[x] for x in left], [segs[x] for x in right]) if len(left) and len(right) else np.zeros((len(left), len(right)))
-            a, b = np.nonzero(c)
-            found.append((left[a], right[b], c[a, b].astype(np.int32)))
-        else:
-            order = np.argsort(root, kind="stable")
-            few = []
-            for s, m in zip(*_runs(root[order])):
-                docs = order[s : s + m]
-                if m >= dense_from:
-                    c = np.triu(_dense([segs[x] for x in docs], None), 1)
-                    a, b = np.nonzero(c)
-                    found.append((docs[a], docs[b], c[a, b].astype(np.int32)))
-                elif m > 1:
-                    few.append(docs)
-            if few:
-                docs = np.concatenate(few)
-                comp = np.repeat(np.arange(len(few)), [len(x) for x in few])
-                lengths = np.array([len(segs[x]) for x in docs])
-                gram, doc, of = np.concatenate([segs[x] for x in docs]), np.repeat(docs, lengths), np.repeat(comp, lengths)
-                by = np.lexsort((doc, gram, of))
-                gram, doc, of = gram[by], doc[by], of[by]
-                new = np.ones(len(gram), bool)
-                new[1:] = (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])
-                starts = np.flatnonzero(new)
-                n = np.diff(np.append(starts, len(gram)))
-                codes = []
-                for k in np.unique(n[n > 1]):
-                    group = doc[starts[n == k][:, None] + np.arange(k)]
-                    x, y = np.triu_indices(k, 1)
-                    codes.append((group[:, x] * len(segs) + group[:, y]).ravel())
-                if codes:
-                    code, c = np.unique(np.concatenate(codes), return_counts=True)
-                    found.append((code // len(segs), code % len(segs), c.astype(np.int32)))
-        a = np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)])
-        b = np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
-        n = np.concatenate([f[2] for f in found] or [np.zeros(0, np.int32)])
-        swap = key[a] > key[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.table([key[a], key[b], size[a], size[b], n], schema=_PART)
+        order = np.argsort(root, kind="stable")
+        a, b, c = _counts(order, np.unique(root[order], return_inverse=True)[1], segs, parts)
+        if i >= 0 and i != j:  # pairs within a block belong to the cell of that block
+            other = block[a] != block[b]
+            a, b, c = a[other], b[other], c[other]
+        similar = c / (size[a].astype(np.int64) + size[b] - c)
+        ok = similar >= threshold
+        a, b, c, similar = a[ok], b[ok], c[ok], similar[ok]
+        # documents of equal sets stand for all their identifiers
+        many, head = np.array([len(x) for x in ids]), np.array([x[0] for x in ids])
+        one = (many[a] == 1) & (many[b] == 1)
+        out = [(head[a[one]], head[b[one]], c[one], similar[one])]
+        for p, q, n, s in zip(a[~one], b[~one], c[~one], similar[~one]):
+            x, y = np.repeat(ids[p], len(ids[q])), np.tile(ids[q], len(ids[p]))
+            out.append((x, y, np.full(len(x), n), np.full(len(x), s)))
+        x, y, c, s = (np.concatenate([o[k] for o in out]) for k in range(4))
+        other = x != y
+        x, y, c, s = x[other], y[other], c[other], s[other]
+        return pa.table([np.minimum(x, y), np.maximum(x, y), c.astype(np.int32), s.astype(np.float64)], schema=_PAIR)
 
     return run
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): _BIN}
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): _BIN, pa.float64(): "double"}
     return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
 
 
@@ -337,8 +382,9 @@ def jaccard_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefix filter under the order (frequency, hash), with n-grams that few documents
     share first, so that common passages propose nobody. Documents that meet in a
     prefix make components; within a component the overlaps of all pairs are counted
-    in `parts` vertical parts, large components in pairs of blocks of `block`
-    documents by matrix products, and the partial counts are summed per pair. There
+    in `parts` vertical fragments, apart from each other, and the partial counts are
+    summed per pair; components of more than `block` documents go in pairs of blocks,
+    and n-grams that many documents of a component share by matrix products. There
     is no cap and no sampling: the result is exact up to equality of 64-bit hashes.
 
     Words are what white space divides, lower-cased. A text of fewer than n words
@@ -351,34 +397,32 @@ def jaccard_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     small_batches(spark)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    keyed = base.withColumn("key", F.xxhash64("id", "text"))
-    bits = max(3, math.ceil(math.log2(tasks_for(df, 16 << 20, 8, 2.0))))
-    bits = min(bits, 24)
-    segments = keyed.select("key", "text").mapInArrow(_segments(n, bits), _ddl(_SEG))
-    shared = segments.groupBy("frag").applyInArrow(_shared(1 << (bits - 1)), _ddl(_SHARED))
+    keyed = base.withColumn("hash", F.xxhash64("id", "text"))
+    bits = min(24, max(3, round(math.log2(tasks_for(df, 16 << 20, 8, 2.0)))))
+    segments = keyed.select("id", "hash", "text").mapInArrow(_segments(n, bits), _ddl(_SEG))
+    shared = segments.groupBy("frag").applyInArrow(_shared(1 << (bits - 1), bits), _ddl(_SHARED))
     live = stored(shared.groupBy("bucket").applyInArrow(_live(threshold), _ddl(_LIVE)), "jaccard-live")
-    # documents of equal sets are counted as one and put back at the end
-    same = live.where("sig1 IS NOT NULL").groupBy("sig1", "sig2", "size").agg(F.min("key").alias("rep"), F.collect_list("key").alias("keys")).where("size(keys) > 1")
-    member = stored(same.select("rep", F.explode("keys").alias("key")), "jaccard-equal")
-    reps = live.join(member.where("rep <> key"), "key", "left_anti")
+    # documents of equal sets are counted as one that carries all their identifiers
+    alone = F.when(F.col("sig1").isNull(), F.col("key"))
+    ids = stored(live.groupBy("sig1", "sig2", "size", alone.alias("alone")).agg(F.min("key").alias("key"), F.sort_array(F.collect_set("id")).alias("ids")), "jaccard-ids")
     low = max(0, bits - 2)
-    edges = reps.select("key", "prefix", "grams").mapInArrow(_prefixes(low), _ddl(_PRE)).groupBy("bucket").applyInArrow(_stars, _ddl(_EDGE))
+    reps = live.select("key", "prefix", "grams").join(small(ids.select("key"), 16), "key", "left_semi")
+    edges = reps.mapInArrow(_prefixes(low), _ddl(_PRE)).groupBy("bucket").applyInArrow(_stars, _ddl(_EDGE))
     roots = components(edges, "jaccard-cc")
-    size = roots.groupBy("root").agg(F.count("*").alias("m"))
-    ranked = roots.join(size, "root").withColumn("rank", F.expr("row_number() OVER (PARTITION BY root ORDER BY node)")).withColumnRenamed("node", "key")
-    cells = live.select("key", "size", "grams").join(ranked, "key").mapInArrow(_cells(1 << bits, parts, block), _ddl(_CELL))
-    partial = cells.groupBy("cell", "i", "j", "part").applyInArrow(_partials(), _ddl(_PART))
-    total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").cast("int").alias("overlap"))
-    total = total.withColumn("jaccard", F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))).where(F.col("jaccard") >= threshold)
-    # back to identifiers
-    ids = keyed.select("id", "key").join(live.select("key", "size"), "key").distinct()
-    ids = stored(ids.join(member, "key", "left").select("id", F.coalesce("rep", "key").alias("rep"), F.col("rep").isNotNull().alias("equal"), "size"), "jaccard-ids")
-    a, b = ids.select(F.col("id").alias("x"), F.col("rep").alias("a")), ids.select(F.col("id").alias("y"), F.col("rep").alias("b"))
-    across = total.join(a, "a").join(b, "b").select("x", "y", "overlap", "jaccard")
-    equal = ids.where("equal")
-    within = equal.select(F.col("id").alias("x"), "rep").join(equal.select(F.col("id").alias("y"), "rep", "size"), "rep").where("x < y").select("x", "y", F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    pairs = across.union(within).where("x <> y")
-    return pairs.groupBy(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).agg(F.max(F.struct("jaccard", "overlap")).alias("s")).select("doc_id_a", "doc_id_b", "s.overlap", "s.jaccard")
+    # the places of documents are narrow; the n-grams move once more, to their cells
+    placed = roots.withColumnRenamed("node", "key").join(ids.select("key", "ids", "size"), "key")
+    count = placed.groupBy("root").agg(F.count("*").cast("int").alias("m")).where("m > 1")
+    placed = placed.join(count, "root").withColumn("rank", F.expr("row_number() OVER (PARTITION BY root ORDER BY key)"))
+    placed = stored(placed, "jaccard-placed")
+    cells = live.select("key", "grams").join(small(placed, 96), "key").mapInArrow(_cells(1 << bits, block), _ddl(_CELL))
+    across = cells.groupBy("cell", "i", "j").applyInArrow(_overlaps(threshold, parts), _ddl(_PAIR))
+    first = ids.where("size(ids) > 1").select("ids", "size", F.posexplode("ids").alias("p", "x"))
+    within = first.select("x", F.explode(F.expr("slice(ids, p + 2, size(ids))")).alias("y"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
+    pairs = across.union(within).select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b"), "overlap", "jaccard")
+    # only an identifier with several texts can make a pair twice
+    if ids.select(F.explode("ids").alias("id")).groupBy("id").count().where("count > 1").isEmpty():
+        return pairs
+    return pairs.groupBy("doc_id_a", "doc_id_b").agg(F.max(F.struct("jaccard", "overlap")).alias("s")).select("doc_id_a", "doc_id_b", "s.overlap", "s.jaccard")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -388,6 +432,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     return components(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")), "near").select(F.col("node").alias("id"), "root")
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """df without the rows of near_groups() whose identifier is not the smallest of
+    its group; all columns and all other rows are kept, those with a null identifier
+    or without a word too."""
+    away = stored(near_groups(df, id_col, text_col, n, threshold).where("id <> root").select(F.col("id").alias("_near_id")), "near-away")
+    return df.join(small(away, 24), df[id_col].cast("long") == F.col("_near_id"), "left_anti")
+
+
 def op5_ngram_jaccard(spark, sf_dir):
     return jaccard_pairs(table(spark, sf_dir, "documents"))
 
