@@ -1,10 +1,59 @@
-"""A corpus pipeline made of the training-data operators."""
+"""A corpus pipeline: documents become packed training windows.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept;
+its result is written as Parquet in the shared folder and read again for the next.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import functions as F
+
+from lemmaforge.llm import exact_dedup, ngram_join, packing, pii, quality
+from lemmaforge.llm.common import stored, table
+
+
+def quality_stage(spark, docs, sf_dir):
+    """Documents that the ordinal classifier rejects go."""
+    model = quality.train(docs, quality.ratings_of(table(spark, sf_dir, "labels")))
+    return quality.select_rows(docs, model)
+
+
+def exact_stage(spark, docs, sf_dir):
+    """Of documents with equal texts that with the smallest identifier stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_stage(spark, docs, sf_dir):
+    """Of each group of near duplicates one document stays."""
+    return ngram_join.keep_one(docs)
+
+
+def pii_stage(spark, docs, sf_dir):
+    """Personal data is replaced by its kind in brackets; n_chars follows the text."""
+    return pii.redact_corpus(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing_stage(spark, docs, sf_dir):
+    """Windows of 2,048 words, as pieces of documents with their places."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard", near_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
+
+#: The classifier is fitted by iteration, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, name.replace(" ", "-"))
+    return docs
