@@ -23,9 +23,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("text", nargs="*")
     p.add_argument("--bank", required=True, help="folder written by save_bank, with embeddings")
     p.add_argument("--scripts", help="JSON list of edit scripts")
-    p.add_argument("--csv", nargs=2, metavar=("IN", "OUT"))
-    p.add_argument("--no-router", action="store_true")
-    p.add_argument("--cov-thresh", type=float, default=0.60)
+    p.add_argument("--csv", metavar=("IN", "OUT"), nargs=2)
+    p.add_argument("--cov-thresh", default=0.6, type=float)
+    p.add_argument("--no-router", help="always take the retrieved lemma", action="store_true")
     p.add_argument("--miss-log")
     a = p.parse_args(argv)
     if not a.text and not a.csv:

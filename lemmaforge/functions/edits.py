@@ -52,12 +52,12 @@ def common_substring(form: str, lemma: str) -> tuple[int, int, int]:
     return i, lemma.index(form[i : i + low]), low
 
 
-def script_of(form: str, lemma: str) -> str:
-    """The edit script that leads from form to lemma."""
-    i, j, k = common_substring(form, lemma)
+def script_of(word: str, lemma: str) -> str:
+    """The edit script that leads from word to lemma."""
+    i, j, k = common_substring(word, lemma)
     if not k:
         return f"R{SEP}{lemma}"
-    return SEP.join([str(i), lemma[:j], str(len(form) - i - k), lemma[j + k :]])
+    return SEP.join([str(i), lemma[:j], str(len(word) - i - k), lemma[j + k :]])
 
 
 _IJK = StructType().add("i", IntegerType()).add("j", IntegerType()).add("k", IntegerType())
@@ -112,17 +112,17 @@ def coverage_native(form: Column, lemma: Column) -> Column:
 _FOLD = str.maketrans(FINALS, MEDIALS)
 
 
-def lcs_share(form: str, lemma: str) -> float:
+def lcs_share(word: str, lemma: str) -> float:
     """Length of the longest common subsequence over the length of lemma, final
-    letters folded, by one machine-word addition for each character of form."""
-    form, lemma = form.translate(_FOLD), lemma.translate(_FOLD)
+    letters folded, by one machine-word addition for each character of word."""
+    word, lemma = word.translate(_FOLD), lemma.translate(_FOLD)
     if not lemma:
         return 0.0
     masks: dict[str, int] = {}
     for i, c in enumerate(lemma):
         masks[c] = masks.get(c, 0) | 1 << i
     full = v = (1 << len(lemma)) - 1
-    for c in form:
+    for c in word:
         u = v & masks.get(c, 0)
         v = ((v + u) | (v - u)) & full
     return (len(lemma) - v.bit_count()) / len(lemma)

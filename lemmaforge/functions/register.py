@@ -18,20 +18,21 @@ _SLASH = re.compile(GENDER_SLASH)
 
 
 def normalize(s: str | None) -> str:
-    return unicodedata.normalize("NFC", s or "").translate(_QUOTES)
+    composed = unicodedata.normalize("NFC", s) if s else ""
+    return composed.translate(_QUOTES)
 
 
-def edit(form: str, script: str) -> str:
+def edit(word: str, script: str) -> str:
     """apply_script() for one pair of strings."""
-    if script.startswith("R" + SEP):
-        return script[2:]
     parts = script.split(SEP)
+    if parts[0] == "R" and len(parts) > 1:
+        return script[2:]
     if len(parts) != 4 or not (parts[0].strip().isdigit() and parts[2].strip().isdigit()):
-        return form
+        return word
     pre, suf = int(parts[0]), int(parts[2])
-    if pre + suf > len(form):
-        return form
-    out = parts[1] + form[pre : len(form) - suf] + parts[3]
+    if pre + suf > len(word):
+        return word
+    out = parts[1] + word[pre : len(word) - suf] + parts[3]
     return out[:-1] + _FINAL.get(out[-1], out[-1]) if out else out
 
 

@@ -19,7 +19,7 @@ LINE_END = r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 SENTENCE_BREAK = rf"(?U){LINE_END}|(?<=[.!?…]){SPACE}+"
 SENTENCE_WORD = rf"[A-Za-z{BLOCK}0-9'\"׳״/\-]+"
 TOKEN = rf"(?U)\d+(?:[.,]\d+)+|[A-Za-z{BLOCK}0-9]+(?:[\"'׳״/][A-Za-z{BLOCK}0-9]+)*|[^\s\x1c-\x1f]"
-GENDER_SLASH = rf"([{HEB}]{{2,}})/(?:יות|ות|ית|ים|ת|ה|ן|י)(?![{HEB}])"
+GENDER_SLASH = rf"([{HEB}]{{2,}})/(?:ה|ן|י|ת|ות|ים|ית|יות)(?![{HEB}])"
 
 
 @F.arrow_udf(StringType())
@@ -105,8 +105,8 @@ def span(form: Column, sentence: Column) -> tuple[Column, Column]:
 
 def clean_wikitext(col: Column) -> Column:
     """Markup off: templates, links (their display text stays), tags, emphasis."""
-    s = F.regexp_replace(col, r"\{\{[^}]*\}\}", "")
-    s = F.regexp_replace(s, r"\[\[(?:[^\]|]*\|)?([^\]|]+)\]\]", "$1")
+    s = F.regexp_replace(col, r"\{{2}[^}]*\}{2}", "")
+    s = F.regexp_replace(s, r"\[{2}(?:[^|\]]*\|)?([^|\]]+)\]{2}", "$1")
     s = F.regexp_replace(s, r"<[^>]+>", "")
     s = F.replace(F.replace(s, F.lit("'''"), F.lit("")), F.lit("''"), F.lit(""))
     return F.btrim(F.regexp_replace(trim_space(s), rf"(?U){SPACE}+", " "), F.lit(" .;:"))

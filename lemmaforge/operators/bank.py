@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim_space
 
-BANK_ROWS = "lemma string, pos string, source string, priority int, ord long"
+TAG_COLUMNS = "pos upos POS UPOS".split()
 
 
 def treebank_rows(df: DataFrame, order: str | None = None, priority: int = 0) -> DataFrame:
     """Bank rows of a labelled table: its column `lemma`, else its second one; tags
     from the first of pos, upos, POS, UPOS that it has."""
-    lemma = "lemma" if "lemma" in df.columns else df.columns[1]
-    pos = next((c for c in ("pos", "upos", "POS", "UPOS") if c in df.columns), None)
+    names = df.columns
+    lemma = next((c for c in names if c == "lemma"), names[min(1, len(names) - 1)])
+    pos = next(filter(names.__contains__, TAG_COLUMNS), None)
     at = F.col(f"`{order}`").cast("long") if order else F.monotonically_increasing_id()
     tag = F.coalesce(trim_space(F.col(f"`{pos}`").cast("string")), F.lit("")) if pos else F.lit("")
     rows = df.select(F.coalesce(trim_space(F.col(f"`{lemma}`").cast("string")), F.lit("")).alias("lemma"), tag.alias("pos"), F.lit("treebank").alias("source"), F.lit(priority).alias("priority"), at.alias("ord"))

@@ -10,7 +10,7 @@ from ..functions.text import is_valid_lemma, strip_lemma_noise
 from ..schema import CLOSED_POS, FUNCTION_POS
 
 
-def route(rows: DataFrame, use_router: bool | Column = True, cov_thresh: float = 0.60, min_sim: float = 0.0, blank_function_words: bool | Column = False, has_edit_head: bool | Column = True, allow_literal: bool = True) -> DataFrame:
+def route(rows: DataFrame, use_router: bool | Column = True, min_sim: float = 0.0, cov_thresh: float = 0.60, blank_function_words: bool | Column = False, has_edit_head: bool | Column = True, allow_literal: bool = True) -> DataFrame:
     """rows (form, pos, ret_lemma, sim, cov, script, sup_lemma, is_acronym) with lemma,
     source and score. The first rule that holds decides:
 
@@ -49,7 +49,7 @@ def worth_annotating(lemma: Column, pos: Column, in_bank: Column) -> Column:
     return ~pos.isin(CLOSED_POS) & ~in_bank & is_valid_lemma(strip_lemma_noise(lemma))
 
 
-def miss_log(pred: DataFrame, cov_thresh: float = 0.60, min_sim: float = 0.0) -> DataFrame:
+def miss_log(pred: DataFrame, min_sim: float = 0.0, cov_thresh: float = 0.6) -> DataFrame:
     """Rows of route() and with_bank_flag() that point to a gap in the bank, with the
     reason. Only rows that reached the retrieval branch are looked at."""
     cov_low, sim_low = F.col("cov") < cov_thresh, F.col("sim") < min_sim

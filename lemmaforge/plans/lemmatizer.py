@@ -72,7 +72,7 @@ class Lemmatizer:
         else:
             pred = pred.join(self.scripts.select("script_id", "script"), "script_id", "left")
         pred = gates.add_gates(pred.withColumn("cov", coverage(F.col("form"), F.col("ret_lemma"))), self.suppletives, self.acronyms)
-        pred = router.route(pred, self.use_router, self.cov_thresh, self.min_sim, self.blank_function_words, F.col("script").isNotNull(), self.allow_literal)
+        pred = router.route(pred, self.use_router, self.min_sim, self.cov_thresh, self.blank_function_words, F.col("script").isNotNull(), self.allow_literal)
         pred = router.with_bank_flag(pred, self.bank)
         on = None
         for k in keys:
@@ -99,11 +99,11 @@ class Lemmatizer:
     def documents(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         return assemble.doc_records(self.token_predictions(docs, key, text), docs, key, text)
 
-    def lemmatize_text(self, spark: SparkSession, source: str, is_path: bool = False, files_glob: str = "*.txt", recursive: bool = True) -> DataFrame:
+    def lemmatize_text(self, spark: SparkSession, source: str, is_path: bool = False, recursive: bool = True, files_glob: str = "*.txt") -> DataFrame:
         """Records of raw text, of one file, or of the files of a folder by rel_path."""
         if not is_path:
             return self.documents(raw_docs(spark, source)).drop("doc_id")
-        docs = text_docs(spark, source, files_glob, recursive)
+        docs = text_docs(spark, source, recursive, files_glob)
         out = self.documents(docs, "rel_path")
         return out.join(docs.select("rel_path", "path"), "rel_path").orderBy("rel_path")
 
@@ -115,4 +115,4 @@ class Lemmatizer:
         """The miss log of predictions: a derived table, not state of the object."""
         if not self.use_router or self.scripts is None:
             pred = pred.where("false")
-        return router.miss_log(pred, self.cov_thresh, self.min_sim)
+        return router.miss_log(pred, self.min_sim, self.cov_thresh)

@@ -59,7 +59,7 @@ def pairs(spark, d):
     return w.select(heb(F.col("w")).alias("form"), heb(_lemma(F.col("w"))).alias("lemma"))
 
 
-# --- documents to sentences and tokens ----------------------------------------
+# documents to sentences and tokens
 
 # pieces cover the text: tokens and runs of white space; offsets are running lengths
 S_TOKENS = r"""
@@ -114,7 +114,7 @@ def normalize_text(spark, d):
 
 # slashes are put between two-letter starts and the rest of each word
 @query(f"""WITH {S_PAIRS}, g AS (SELECT form, substr(form, 1, 2) || '/' || substr(form, 3) || ' ' || form || '/ת ' || form || '/ית.' AS s FROM p)
-SELECT form, regexp_replace(regexp_replace(s, '([א-ת]{{2,}})/(?:יות|ות|ית|ים|ת|ה|ן|י)([^א-ת]|$)', '\\1\\2', 'g'), '^$', '') AS collapsed FROM g""")
+SELECT form, regexp_replace(regexp_replace(s, '([א-ת]{{2,}})/(?:ה|ן|י|ת|ות|ים|ית|יות)([^א-ת]|$)', '\\1\\2', 'g'), '^$', '') AS collapsed FROM g""")
 def gender_slash(spark, d):
     s = F.concat(F.substring("form", 1, 2), F.lit("/"), F.expr("substring(form, 3)"), F.lit(" "), F.col("form"), F.lit("/ת "), F.col("form"), F.lit("/ית."))
     return pairs(spark, d).select("form", T.collapse_gender_slash(s).alias("collapsed"))
@@ -141,7 +141,7 @@ def form_span(spark, d):
     return c.select("conv_id", "turn", "form", a.alias("span_start"), b.alias("span_end"))
 
 
-# --- edit scripts ----------------------------------------------------------------
+# edit scripts
 
 S_LCS = f"""{S_PAIRS}, s AS (SELECT form, lemma, k, i FROM p, unnest(range(1, length(form) + 1)) a(k), unnest(range(1, length(form) + 1)) b(i) WHERE i <= length(form) - k + 1 AND contains(lemma, substr(form, i, k))),
 m AS (SELECT form, lemma, arg_max(i, k * 1000 - i) AS i, max(k) AS k FROM s GROUP BY form, lemma),
@@ -204,7 +204,7 @@ def coverage(spark, d):
     return pairs(spark, d).withColumn("coverage", F.round(E.coverage(F.col("form"), F.col("lemma")), 6))
 
 
-# --- the bank ----------------------------------------------------------------------
+# the bank
 
 S_BANK = f"""
 r AS (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '{WORD}') AS ws FROM conversations),
@@ -234,7 +234,7 @@ def bank_meta(spark, d):
     return bank.bank_meta(_bank(spark, d))
 
 
-# --- vectors -----------------------------------------------------------------------
+# vectors
 
 def _vec_bank(spark, d):
     e = table(spark, d, "embeddings")
@@ -298,7 +298,7 @@ def head_argmax(spark, d):
     return e.select("vec_id", V.argmax(F.col("z")).alias("class_id"), predicted_pos(F.col("z")).alias("pos"))
 
 
-# --- gates ---------------------------------------------------------------------------
+# gates
 
 _SUP = [(1, "aa", "copula", "bb"), (2, "aa", "pronoun", "cc"), (3, "dd", "unknownclass", "ee"), (4, " ", "noun", "ff"), (5, " gg ", "participle", "hh"), (6, "gg", "noun", "hh"), (7, "thth", "pronoun", "ii"), (8, "the", "demonstrative", "jj")]
 S_SUP = "i AS (SELECT * FROM (VALUES " + ", ".join(str(r) for r in _SUP) + ") v(row_id, surface, pos, lemma))"
@@ -337,7 +337,7 @@ def acronym_flag(spark, d):
     return gates.add_gates(_forms(spark, d), None, gates.acronym_table(listed)).select("form", "n", "is_acronym")
 
 
-# --- the router ------------------------------------------------------------------------
+# the router
 
 # six switches: blanking, router, edit head, irregular form, acronym, trust
 S_CUBE = "b AS (SELECT id, id & 1 > 0 AS blank, id & 2 > 0 AS router, id & 4 > 0 AS head, id & 8 > 0 AS sup, id & 16 > 0 AS acr, id & 32 > 0 AS trust, tag FROM unnest(range(0, 64)) t(id), (VALUES ('DET'), ('NOUN')) v(tag))"
@@ -444,7 +444,7 @@ def doc_record(spark, d):
     return r.select("doc_id", "text", F.size("tokens").alias("n_tokens"), "analyzed_text", F.size("es_tokens").alias("n_es"), F.size("unknown").alias("n_unknown"), F.get("unknown", F.lit(0))["token"].alias("first_unknown"))
 
 
-# --- evaluation, splits, comparison --------------------------------------------------------
+# evaluation, splits, comparison
 
 S_EVAL = f"{S_PRED}, ev AS (SELECT row_id, form, lemma, CASE WHEN length(form) % 4 = 0 THEN ret_lemma ELSE lemma END AS gold, doc_id % 3 AS split FROM pr), tr AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD}')) AS w FROM documents), tf AS (SELECT {sheb('w')} AS form FROM tr)"
 
@@ -507,13 +507,13 @@ def label_filter(spark, d):
     return splits.label_filter(w, "form")
 
 
-# --- dictionary dump ---------------------------------------------------------------------
+# dictionary dump
 
 # documents as pages: lines become definitions, with markup put in
 @query(r"""WITH m AS (SELECT doc_id, '# ' || replace(replace(replace(replace(replace(text, ' the ', ' [[the|THE]] '), ' in ', ' {{t|x}} '), ' of ', ' <b>''''''of''''''</b> '), '.' || chr(10), '.' || chr(10) || '# '), ',' || chr(10), chr(10) || '#: ') AS t FROM documents),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM m),
 c AS (SELECT doc_id, k, substr(l, 2) AS s FROM l WHERE starts_with(l, '#') AND substr(l, 2, 1) NOT IN (':', '*', '#')),
-e AS (SELECT doc_id, k, trim(regexp_replace(trim(replace(replace(regexp_replace(regexp_replace(regexp_replace(s, '\{\{[^}]*\}\}', '', 'g'), '\[\[(?:[^\]|]*\|)?([^\]|]+)\]\]', '\1', 'g'), '<[^>]+>', '', 'g'), '''''''', ''), '''''', '')), '\s+', ' ', 'g'), ' .;:') AS d FROM c)
+e AS (SELECT doc_id, k, trim(regexp_replace(trim(replace(replace(regexp_replace(regexp_replace(regexp_replace(s, '\{{2}[^}]*\}{2}', '', 'g'), '\[{2}(?:[^|\]]*\|)?([^|\]]+)\]{2}', '\1', 'g'), '<[^>]+>', '', 'g'), '''''''', ''), '''''', '')), '\s+', ' ', 'g'), ' .;:') AS d FROM c)
 SELECT 'p' || documents.doc_id AS surface, coalesce(arg_min(d, k) FILTER (d <> ''), '') AS expansion, coalesce(string_agg(d, ' | ' ORDER BY k) FILTER (d <> ''), '') AS all_defs, CAST(count(d) FILTER (d <> '') AS INTEGER) AS ndefs, 'wiktionary' AS source FROM documents LEFT JOIN e USING (doc_id) GROUP BY documents.doc_id""")
 def wikitext_defs(spark, d):
     docs = table(spark, d, "documents")
@@ -534,7 +534,7 @@ def category_union(spark, d):
     return acronyms.category_titles(pages.union(top).union(own).union(own), "ALL")
 
 
-# --- the whole plan, with the stand-in encoder (no SQL twin) ---------------------------------
+# the whole plan, with the stand-in encoder (no SQL twin)
 
 @query()
 def lemmatize_conversations(spark, d):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-UPOS = ["NOUN", "VERB", "ADJ", "ADV", "PROPN", "ADP", "AUX", "CCONJ", "SCONJ", "DET", "PRON", "PART", "NUM", "INTJ", "X"]
+#: Their order is the number of the class in a tagger's output.
+UPOS = "NOUN PROPN VERB ADJ ADV PRON DET ADP NUM AUX CCONJ SCONJ PART INTJ X".split()
 #: Blanked on request; interjections belong here but not to the closed classes below.
 FUNCTION_POS = ["ADP", "AUX", "CCONJ", "DET", "INTJ", "PART", "PRON", "SCONJ"]
 CLOSED_POS = ["ADP", "AUX", "CCONJ", "DET", "PART", "PRON", "SCONJ"]
@@ -13,7 +14,7 @@ PLAIN_QUOTES = '"' * 8 + "'" * 6
 
 FINALS, MEDIALS = "ךםןףץ", "כמנפצ"
 SEP = "¦"
-IDENTITY = SEP.join(["0", "", "0", ""])
+IDENTITY = f"0{SEP}{SEP}0{SEP}"
 
 #: Lexicon word classes and the tags a tagger may give to such a word.
 CLASS_TAGS = {

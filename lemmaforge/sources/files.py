@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPLITS = {"train": "train", "dev": "dev", "test": "test", "ood": "ood", "oov": "oov", "ood_bagatz": "ood_bagatz", "ood_geektime": "ood_geektime", "ood_dicta": "ood_dicta"}
+SPLITS = {"train": "train", "dev": "dev", "test": "test", "ood": "ood", "oov": "oov", "ood_dicta": "ood_Dicta", "ood_geektime": "ood_GeekTime", "ood_bagatz": "ood_Bagatz"}
 
 
-def text_docs(spark: SparkSession, path: str, files_glob: str = "*.txt", recursive: bool = True) -> DataFrame:
+def text_docs(spark: SparkSession, path: str, recursive: bool = True, files_glob: str = "*.txt") -> DataFrame:
     """(rel_path, path, text) of one file or of the files of a folder, line ends as
     \\n. Paths are told apart from raw text by the caller, never by guessing."""
     reader = spark.read
