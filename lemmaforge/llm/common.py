@@ -84,7 +84,7 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-# --- vectorised hashing of words and character windows -----------------------
+# vectorised hashing of words and character windows
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)

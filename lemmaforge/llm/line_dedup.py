@@ -162,30 +162,46 @@ def line_jaccard(x: str, y: str, k: int = SHINGLE) -> float:
     return len(a & b) / len(a | b)
 
 
-def _verify(k: int, threshold: float):
-    def run(batches):
-        # lines recur in many pairs, so the sets of the last ones are kept
-        sets: dict[int, set] = {}
+def jaccards(lines: list[str], left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
+    """Jaccard similarities of lines[left] and lines[right] on the hashes of all their
+    distinct shingles: each shingle of the smaller set is looked up in the other."""
+    of, h = shingles(lines, k)
+    both = of.astype(np.uint64) << np.uint64(44) | h
+    start = np.searchsorted(of, np.arange(len(lines) + 1))
+    n = np.diff(start)
+    small_side, large_side = np.where(n[left] <= n[right], left, right), np.where(n[left] <= n[right], right, left)
+    lengths = n[small_side]
+    row = np.repeat(np.arange(len(left)), lengths)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    needle = h[start[small_side][row] + place] | large_side[row].astype(np.uint64) << np.uint64(44)
+    at = np.minimum(np.searchsorted(both, needle), max(0, len(both) - 1))
+    common = np.bincount(row, weights=both[at] == needle if len(both) else None, minlength=len(left))
+    return common / np.maximum(n[left] + n[right] - common, 1)
 
-        def of(name, line):
-            found = sets.get(name)
-            if found is None:
-                if len(sets) >= 2000:
-                    sets.clear()
-                found = sets[name] = {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
-            return found
 
+def _verify(k: int, threshold: float):
+    def run(batches):
         for batch in batches:
-            ok = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
-                p, q = of(a, x), of(b, y)
-                n = len(p) + len(q)
-                if min(len(p), len(q)) < threshold * max(len(p), len(q)):
-                    ok.append(False)
-                    continue
-                both = len(p & q)
-                ok.append(both >= threshold * (n - both))
-            keep = pa.array(ok, pa.bool_())
+            xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            ok = np.zeros(len(xs), bool)
+            at = 0
+            while at < len(xs):
+                # as many pairs as have about two million characters
+                number: dict[str, int] = {}
+                size, to = 0, at
+                pairs = []
+                while to < len(xs) and (size < 2 << 20 or to == at):
+                    pairs.append((number.setdefault(xs[to], len(number)), number.setdefault(ys[to], len(number))))
+                    size += len(xs[to]) + len(ys[to])
+                    to += 1
+                left, right = np.array(pairs, np.int64).T
+                similar = jaccards(list(number), left, right, k)
+                ok[at:to] = similar >= threshold
+                # where equal hashes of different shingles could decide, strings do
+                for i in np.flatnonzero(np.abs(similar - threshold) < 0.01):
+                    ok[at + i] = line_jaccard(xs[at + i], ys[at + i], k) >= threshold
+                at = to
+            keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return run
