@@ -138,8 +138,10 @@ def script_vocab(pairs: DataFrame, min_count: int = 1, form: str = "form", lemma
     """(script_id, script, n) of the scripts of all pairs, most frequent first, ties
     by first occurrence; the identity comes last if it is not among them."""
     scripts = pairs.select(derive_script(F.col(form), F.col(lemma)).alias("script"), F.col(order).alias("o"))
-    kept = scripts.groupBy("script").agg(F.count("*").alias("n"), F.min("o").alias("first")).where(F.col("n") >= min_count)
-    one = pairs.sparkSession.createDataFrame([(IDENTITY, 0, None)], f"script string, n long, first {dict(kept.dtypes)['first']}")
-    both = kept.select("script", "n", "first").union(one.join(kept.select("script"), "script", "left_anti"))
+    one = pairs.sparkSession.createDataFrame([(IDENTITY, None, 0)], f"script string, o {dict(scripts.dtypes)['o']}, k int")
+    counted = scripts.withColumn("k", F.lit(1)).union(one).groupBy("script").agg(F.sum("k").alias("n"), F.min("o").alias("first"))
+    enough = F.col("n") >= max(min_count, 1)
+    kept = counted.where(enough | (F.col("script") == IDENTITY))
+    both = kept.select("script", F.when(enough, F.col("n")).otherwise(F.lit(0)).cast("long").alias("n"), F.when(enough, F.col("first")).alias("first"))
     ranked = both.withColumn("script_id", F.expr("row_number() OVER (ORDER BY n DESC, first NULLS LAST, script) - 1"))
     return ranked.select("script_id", "script", "n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lemmaforge.functions import edits as E
 from lemmaforge.functions import text as T
 from lemmaforge.functions.register import edit, register
-from lemmaforge.operators.tokens import token_spans, tokens, tokens_native
+from lemmaforge.operators.tokens import sentences, sentences_native, token_spans, tokens, tokens_native
 
 
 def one(spark, expr_of, *values):
@@ -89,6 +89,8 @@ def test_native_tokenizer_agrees(spark):
     cols = ["doc_id", "sent_id", "tok_idx", "token", "start", "end", "nospace"]
     a, b = tokens(df, words_only=False).select(cols), tokens_native(df).select(cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    x, y = sentences(df), sentences_native(df)
+    assert x.columns == y.columns and x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
     for r in a.collect():
         assert texts[r.doc_id][r.start : r.end] == r.token
 
