@@ -180,6 +180,19 @@ def test_classifier_held_out(spark):
     assert np.mean([r.expected_grade for r in good]) > np.mean([r.expected_grade for r in junk]) + 0.5
 
 
+def test_classifier_rejects_held_out_toxic_rows(spark):
+    """Trained on three quarters of the labelled rows; insults are few words of long
+    texts, in four languages."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = quality.ratings_of(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    model = quality.train(docs, labels.where("id % 4 > 0"))
+    held = docs.join(labels.where("id % 4 = 0 AND grade IS NOT NULL"), F.col("doc_id") == F.col("id"))
+    got = quality.grade(held, model).join(labels, F.col("doc_id") == F.col("id")).collect()
+    kept = {g: np.mean([r.selected for r in got if r.grade == g]) for g in range(3)}
+    print("kept by grade", kept)
+    assert kept[2] >= 0.98 and kept[1] <= 0.15 and kept[0] <= 0.03
+
+
 def test_classifier_gradient():
     """The fit ascends the likelihood: it separates three ordered groups of words."""
     rng = random.Random(3)
