@@ -13,10 +13,10 @@ from .common import MULT, components, mix, powers, small, small_batches, stored,
 
 SHINGLE = 7
 THRESHOLD = 0.8
-BANDS = 18
-ROWS = 7
+BANDS = 20
+ROWS = 6
 BINS = 128
-FEW, MANY = 48, 64
+FEW, MANY = 64, 128
 
 _CHARS = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x51ED))
 _HASH_A = np.random.Generator(np.random.PCG64(99)).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -219,7 +219,7 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     character shingles is at least threshold.
 
     Signatures propose pairs by banding (a similarity of 0.8 is found with a
-    probability of about 0.985); every proposed pair is verified on the lines' full
+    probability above 0.99); every proposed pair is verified on the lines' full
     texts. Pairs with the least line of a band come first; the others are verified
     only if their lines are not linked by then, which leaves the components as they
     are. Components come from distributed union-find.

@@ -210,3 +210,23 @@ def test_line_recall_of_proposals():
 def test_registered_queries_run(spark):
     for name in ("op10_line_dedup", "op5_ngram_jaccard"):
         assert queries()[name](spark, DATA).count() > 0
+
+
+def test_line_recall_at_the_threshold():
+    """Of pairs of short lines at a Jaccard similarity just above 0.8, bands find more
+    than 99 in 100."""
+    rng = random.Random(17)
+    pairs = []
+    while len(pairs) < 8000:
+        a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(24, 52)))
+        n = rng.randint(1, 5)
+        b = "#" * n + a[n:]
+        if 0.8 <= line_dedup.line_jaccard(a, b) <= 0.82:
+            pairs += [a, b]
+    line, key = line_dedup.band_keys(pairs)
+    keys: dict[int, set] = {}
+    for i, k in zip(line.tolist(), key.tolist()):
+        keys.setdefault(i, set()).add(k)
+    found = [bool(keys[i] & keys[i + 1]) for i in range(0, len(pairs), 2)]
+    print("found", sum(found), "of", len(found))
+    assert sum(found) >= 0.995 * len(found)
