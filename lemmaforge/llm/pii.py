@@ -192,16 +192,17 @@ def redact_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """df with personal data in text_col replaced by [KIND]; all rows and columns
     kept, and the kinds found in each text, in order, added as kinds_col if named.
 
-    Seeds are found again while the texts stream by; values that bootstrapping found
-    beyond them come as spans by (identifier, hash of the text), broadcast if their
+    Seeds are found again while the texts stream by; their values where they stand as
+    candidates without a seed's context, and values that bootstrapping found, come as spans by (identifier, hash of the text), broadcast if their
     counted rows are few, else joined by a shuffle.
 
     Null texts stay null, empty texts empty; texts of any length are read whole. Null
     and repeated identifiers are told apart by their text. Equal values are treated
-    alike wherever they stand. An empty table gives no rows.
+    alike wherever they stand as candidates. An empty table gives no rows.
     """
     found, fresh = discover(df, id_col, text_col, **bootstrap)
-    spans = found.where("kind IS NULL").drop("kind").join(fresh, "value")
+    known = found.where("kind IS NOT NULL").groupBy("value").agg(F.max("kind").alias("kind")).union(fresh.select("value", "kind"))
+    spans = found.where("kind IS NULL").drop("kind").join(known, "value")
     spans = stored(spans.groupBy("id", "h").agg(F.collect_list(F.struct("a", "b", "kind")).alias("_pii_spans")).withColumnRenamed("id", "_pii_id").withColumnRenamed("h", "_pii_h"), "pii-spans")
     at = df.columns.index(text_col)
     if spans.isEmpty():

@@ -317,6 +317,12 @@ def test_bootstrapping_finds_what_no_seed_can(spark):
     assert set(got) == set(score) - seeds and len(got) == len(odd)
 
 
+def test_seed_value_outside_its_context(spark):
+    df = spark.createDataFrame([(1, "password=b7db7aa4a5"), (2, "log in with b7db7aa4a5."), (3, "log in with b7db7aa4a6.")], "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.kinds) for r in pii.redact_corpus(df, kinds_col="kinds").collect()}
+    assert out == {1: ("password=[SECRET]", ["SECRET"]), 2: ("log in with [SECRET].", ["SECRET"]), 3: ("log in with b7db7aa4a6.", [])}
+
+
 def test_pii_odd_rows(spark):
     df = odd_rows(spark).union(spark.createDataFrame([(20, "x " * 50_000 + "me.1@mail1.example.com", None, "i", 1, 2, 3, "k")], odd_rows(spark).schema))
     out = pii.redact_corpus(df, kinds_col="kinds_found")
