@@ -15,8 +15,9 @@ MIN_CONFIDENCE = 0.9
 MIN_SCORE = 0.9
 ROUNDS = 5
 
-TRACE = r"[0-9@=]|A[KS]IA"
-_TRACE = re.compile("[0-9@=]")
+# every seed has one of these; Cn: digits that Python knows and this Java does not
+TRACE = r"[\p{Nd}\p{Cn}@=:]|A[KS]IA"
+_TRACE = re.compile(r"[\d@=:]")
 _SEEDS = [
     ("EMAIL", re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]*\w)+")),
     ("SECRET", re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?([^\s\"',;]{6,})")),
