@@ -7,15 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import lean, stored, table
 
 K = 10
 DEGREE = 32
 BUILD_BEAM = 64
 SEARCH_BEAM = 80
 ALPHA = 1.2
-SHARD_ROWS = 20_000
-QUERY_ROWS = 8_192
+SHARD_ROWS = 10_000
+QUERY_ROWS = 65_536
+CELL_BYTES = 64 << 20
+EVERY = 50
 
 
 class Graph:
@@ -55,12 +57,16 @@ class Graph:
         source, target = source[order], target[order]
         at = np.concatenate(([0], np.flatnonzero(target[1:] != target[:-1]) + 1)) if len(target) else np.zeros(0, np.int64)
         nodes, counts = target[at], np.diff(np.append(at, len(target)))
+        # a node of many reverse edges takes them in turns, so that every one is weighed
+        turn = 2 * self.degree
         for lo in range(0, len(nodes), 2048):
             part, c, a = nodes[lo : lo + 2048], counts[lo : lo + 2048], at[lo : lo + 2048]
-            width = int(min(c.max(), 2 * self.degree))
-            place = np.arange(width)[None, :]
-            extra = np.where(place < c[:, None], source[np.minimum(a[:, None] + place, len(source) - 1)], -1)
-            self.neighbours[part] = self._prune(part, np.concatenate([self.neighbours[part], extra.astype(np.int32)], 1), alpha, room=True)
+            for skip in range(0, int(c.max()), turn):
+                still = c > skip
+                p, left, first = part[still], c[still] - skip, a[still] + skip
+                place = np.arange(min(turn, int(left.max())))[None, :]
+                extra = np.where(place < left[:, None], source[np.minimum(first[:, None] + place, len(source) - 1)], -1)
+                self.neighbours[p] = self._prune(p, np.concatenate([self.neighbours[p], extra.astype(np.int32)], 1), alpha, room=True)
 
     def _prune(self, rows: np.ndarray, ids: np.ndarray, alpha: float, room: bool = False) -> np.ndarray:
         """Robust pruning of candidate lists: take the nearest candidate, drop those
@@ -207,62 +213,77 @@ _HITS = pa.schema([("q", pa.int64()), ("hits", pa.list_(pa.struct([("sim", pa.fl
 
 def _query(k: int, beam: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """One shard's graph and one block of queries."""
+        """The graphs of some shards, one after the other, and one block of queries;
+        of all hits of a query the k best leave the task."""
         q, hits = [], []
         if left.num_rows and right.num_rows:
-            g, ids = _load(left.slice(0, 1).to_pylist()[0])
             names, x = right.column("id").to_numpy(), _unit(right)
-            for s in range(0, len(x), 1024):
-                found, sims = g.search(x[s : s + 1024], beam, min(beam, k + 1))
-                for name, f, v in zip(names[s : s + 1024].tolist(), found, sims):
-                    ok = f >= 0
-                    own = ids[f[ok]]
-                    q.append(name)
-                    hits.append([{"sim": b, "id": a} for a, b in zip(own.tolist(), v[ok].tolist()) if a != name][:k])
+            best_id, best = np.full((len(x), k), np.iinfo(np.int64).max), np.full((len(x), k), -np.inf, np.float32)
+            for i in range(left.num_rows):
+                g, ids = _load(left.slice(i, 1).to_pylist()[0])
+                for s in range(0, len(x), 1024):
+                    found, sims = g.search(x[s : s + 1024], beam, k + 1)
+                    own = np.where(found >= 0, ids[np.maximum(found, 0)], np.iinfo(np.int64).max)
+                    sims = np.where((found < 0) | (own == names[s : s + 1024, None]), -np.inf, sims)
+                    all_ids, all_sims = np.concatenate([best_id[s : s + 1024], own], 1), np.concatenate([best[s : s + 1024], sims], 1)
+                    order = np.lexsort((all_ids, -all_sims))[:, :k]
+                    best_id[s : s + 1024], best[s : s + 1024] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_sims, order, 1)
+            q = names.tolist()
+            hits = [[{"sim": b, "id": a} for a, b in zip(i, v) if b > -np.inf] for i, v in zip(best_id.tolist(), best.tolist())]
         return pa.Table.from_arrays([pa.array(q, pa.int64()), pa.array(hits, _HITS.field("hits").type)], schema=_HITS)
 
     return run
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, degree: int = DEGREE, build_beam: int = BUILD_BEAM, search_beam: int = SEARCH_BEAM, alpha: float = ALPHA, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(id, neighbour, rank, similarity): for every row the k rows of greatest cosine
-    similarity that beam search finds; rank counts from 1, ties by identifier.
+def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, degree: int = DEGREE, build_beam: int = BUILD_BEAM, search_beam: int = SEARCH_BEAM, alpha: float = ALPHA, shard_rows: int = SHARD_ROWS, every: int = 1) -> DataFrame:
+    """(id, neighbour, rank, similarity): for each query the k rows of greatest cosine
+    similarity that beam search finds among all rows; rank counts from 1, ties by
+    identifier. Queries are the rows whose identifier is divisible by `every`.
 
-    Rows are dealt to shards of about shard_rows by a hash of the identifier. Each
-    shard builds its graph in one task: greedy searches propose neighbours, relaxed
-    pruning keeps edges in diverse directions, reverse edges are added. Each block of
-    queries is searched in each shard, and the k best of all shards remain, so every
-    row is a query and recall does not depend on how rows are dealt.
+    Every row is indexed. Rows are dealt to shards of about shard_rows by a hash of the
+    identifier. Each shard builds its graph in one task: greedy searches propose
+    neighbours, relaxed pruning keeps edges in diverse directions, and all reverse
+    edges are weighed by the same pruning. The graphs are written once. A task takes
+    as many shards as CELL_BYTES of graphs allow and a block of QUERY_ROWS queries,
+    loads each graph once, and passes on the k best of its shards; so every query is
+    searched in every shard and recall does not depend on how rows are dealt. The
+    number of beam searches is queries x rows / shard_rows: larger tables want larger
+    shards, as far as one task's memory and time to build allow.
 
     Rows with a null identifier or vector, with null or non-finite components, or
-    with another number of dimensions than the most frequent are left out. A zero
-    vector has similarity 0 with all. Repeated identifiers count once, with their
-    least vector; equal vectors are neighbours of similarity 1. A row is never its
-    own neighbour. An empty table gives no rows; other columns are not read.
+    with another number of dimensions than the most frequent (of equally frequent
+    ones the least) are left out. A zero vector has similarity 0 with all. Repeated
+    identifiers count once, with their least vector; equal vectors are neighbours of
+    similarity 1. A row is never its own neighbour. An empty table gives no rows;
+    other columns are not read. Identifiers are whole numbers, or strings of such.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(3e38))))
     rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     rows = stored(rows, "ann-rows")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head()
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).orderBy(F.desc("n"), "d").head()
     schema = f"{id_col} long, neighbour long, rank int, similarity float"
     if sizes is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("v") == sizes["d"])
-    shards = max(1, round(sizes["count"] / shard_rows))
+    shards = max(1, round(sizes["n"] / shard_rows))
     part = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     kinds = "shard int, n int, dim int, ids binary, x binary, edges binary, entry binary"
-    graphs = stored(part.groupBy("shard").applyInArrow(_build(degree, build_beam, alpha), kinds), "ann-graphs")
-    # a cell is a shard and a block of queries; both sides are sent to their cells
-    blocks = max(1, round(sizes["count"] / QUERY_ROWS))
-    queries = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    hits = spread.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(_query(k, search_beam), "q long, hits array<struct<sim:float,id:long>>")
+    # as many partitions as shards: a partition of two shards would build both in turn
+    apart = part.repartition(shards, "shard") if shards < 1 << 16 else part
+    graphs = stored(apart.groupBy("shard").applyInArrow(lean(_build(degree, build_beam, alpha)), kinds), "ann-graphs")
+    # a cell is a set of shards and a block of queries; both sides are sent to their cells
+    together = max(1, int(CELL_BYTES / (sizes["n"] / shards * (4 * sizes["d"] + 4 * degree + 8))))
+    together = max(1, min(together, shards // spark.sparkContext.defaultParallelism))
+    sets, blocks = (shards - 1) // together + 1, max(1, round(sizes["q"] / QUERY_ROWS))
+    queries = rows.where(F.col("id") % every == 0).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    spread = graphs.withColumn("cell", (F.col("shard") % sets).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    hits = spread.groupBy("cell", "block").cogroup(queries.groupBy("cell", "block")).applyInArrow(lean(_query(k, search_beam)), "q long, hits array<struct<sim:float,id:long>>")
     best = hits.groupBy("q").agg(F.flatten(F.collect_list("hits")).alias("hits"))
     best = best.select("q", F.slice(F.array_sort(F.transform("hits", lambda h: F.struct((-h["sim"]).alias("far"), h["id"].alias("id")))), 1, k).alias("hits"))
     return best.select(F.col("q").alias(id_col), F.posexplode("hits").alias("rank", "hit")).select(id_col, F.col("hit.id").alias("neighbour"), (F.col("rank") + 1).alias("rank"), (-F.col("hit.far")).alias("similarity"))
 
 
 def op2_ann(spark, sf_dir):
-    return nearest(table(spark, sf_dir, "embeddings"))
+    return nearest(table(spark, sf_dir, "embeddings"), every=EVERY)

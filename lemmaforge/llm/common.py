@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import inspect
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Only
-    where the session has none (tests in local mode) a temporary folder is set."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where a
+    local session has none (as in tests) a temporary folder is set; on a cluster that
+    is an error, since executors would not find a folder of the driver's machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lemmaforge-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
@@ -50,10 +57,47 @@ def tasks_for(df: DataFrame, target_bytes: int, least: int = 1, factor: float =
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of texts holds, where the session sets no bound."""
+    """Bound what one Arrow batch of texts holds, where the session sets no bound. The
+    setting stays, as plans made here run after the call that made them."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(name)).rstrip("bB") or 0) > 16 << 20:
-        spark.conf.set(name, str(16 << 20))
+    if int(str(spark.conf.get(name)).rstrip("bB") or 0) > 8 << 20:
+        spark.conf.set(name, str(8 << 20))
+
+
+@functools.lru_cache(1)
+def _trim_call():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # no GNU C library: nothing to give back
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers live on between
+    stages, and what the allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    _trim_call()(0)
+
+
+def lean(run):
+    """run, a function over Arrow data, that gives memory back after each result."""
+    if inspect.isgeneratorfunction(run):
+
+        def each(batches):
+            for out in run(batches):
+                yield out
+                del out
+                give_back()
+
+        return each
+
+    def once(*tables):
+        out = run(*tables)
+        give_back()
+        return out
+
+    # the number of arguments tells Spark what to pass
+    return (lambda t: once(t)) if len(inspect.signature(run).parameters) == 1 else (lambda a, b: once(a, b))
 
 
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
