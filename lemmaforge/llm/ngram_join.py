@@ -10,13 +10,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, chunks, components, mix, small, small_batches, stored, table, tasks_for, texts_to_words
+from .common import MULT, chunks, components, lean, mix, small, small_batches, stored, table, tasks_for, texts_to_words
 
 N = 4
 THRESHOLD = 0.4
-BLOCK = 2048
 PARTS = 4
+# sets in a block, a power of two; n-grams of so many sets are counted by matrix products
+BLOCK_BITS = 10
 HEAVY = 32
+# frequencies above this are alike in the order of n-grams
+MOST = 255
 
 _BIN = "binary"
 
@@ -68,51 +71,64 @@ def _pack7(gram: np.ndarray) -> bytes:
 def _unpack7(data: np.ndarray, frag: int, bits: int) -> np.ndarray:
     out = np.zeros((len(data) // 7, 8), np.uint8)
     out[:, :7] = data.reshape(-1, 7)
-    return out.view(np.uint64).ravel() | (np.uint64(frag) << np.uint64(64 - bits))
+    return out.view(np.uint64).ravel() & np.uint64((1 << (64 - bits)) - 1) | (np.uint64(frag) << np.uint64(64 - bits))
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Counts in two bytes each if they fit, else in four."""
-    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32).tobytes()
+    """Counts in one byte each if they fit, else in four."""
+    return x.astype(np.uint8 if not len(x) or x.max() < 1 << 8 else np.uint32).tobytes()
 
 
 def _widen(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int64)
+    return np.frombuffer(data, np.uint8 if len(data) == n else np.uint32).astype(np.int64)
 
 
-_SEG = pa.schema([("frag", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
+_SEG = pa.schema([("frag", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("counts", pa.binary()), ("grams", pa.binary()), ("marks", pa.binary()), ("ids", pa.binary()), ("hashes", pa.binary()), ("sizes", pa.binary())])
 
 
 def _segments(n: int, bits: int):
     """Cut the n-grams of every document at the fragments of the hash order; one row
-    holds what a chunk of documents has in one fragment. Within a chunk documents are
-    numbered; a document's key is the digest of its chunk's rows and its number, which
-    every run of the task finds again. One more row for each chunk, under a negative
-    fragment, tells the identifiers."""
+    holds what a chunk of documents has in one fragment: how many n-grams each of its
+    documents has there, and these. An n-gram of MOST or more documents of the chunk
+    needs no counting: the fragment gets one mark of it, and its occurrences go to a
+    group of the chunk's own instead (as fragment 1 << bits and above), so that no
+    task holds all occurrences of a frequent n-gram. One more row for each chunk,
+    under a negative fragment, has identifiers, hashes and sizes of its documents."""
 
     def run(batches):
         for batch in batches:
             hashes, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "id"))
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts, 3 << 20, 60_000):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for a, b in chunks(texts, 2 << 20, 60_000):
                 doc, gram = grams_of(texts[a:b], n)
-                sizes = np.bincount(doc, minlength=b - a)
-                digest = mix(hashes[a:b].view(np.uint64) + MULT[0] * np.arange(b - a, dtype=np.uint64)).sum(dtype=np.uint64)
-                chunk = int(mix(np.array([digest]))[0] >> np.uint64(17))
-                frag = (gram >> np.uint64(64 - bits)).astype(np.int64)
-                order = np.argsort(frag, kind="stable")
-                doc, gram, frag = doc[order], gram[order], frag[order]
+                m = b - a
+                sizes = np.bincount(doc, minlength=m)
+                digest = mix(hashes[a:b].view(np.uint64) + MULT[0] * np.arange(m, dtype=np.uint64)).sum(dtype=np.uint64)
+                chunk = int(mix(np.array([digest])).view(np.int64)[0])
                 rows: dict = {f.name: [] for f in _SEG}
 
-                def add(*values):
-                    for f, v in zip(_SEG, values):
-                        rows[f.name].append(v)  # noqa: B023
-
-                add(-1 - (chunk & ((1 << bits) - 1)), chunk, np.arange(b - a, dtype=np.uint16).tobytes(), b"", b"", ids[a:b].astype(np.int64).tobytes())
-                for s, m in zip(*_runs(frag)):
-                    at, counts = _runs(doc[s : s + m])
-                    own = doc[s : s + m][at]
-                    add(int(frag[s]), chunk, own.astype(np.uint16).tobytes(), _narrow(sizes[own]), _narrow(counts), _pack7(gram[s : s + m]))
+                def add(frag, counts=b"", grams=b"", marks=b"", ids=b"", hashes=b"", sizes=b""):
+                    for name, v in zip(_SEG.names, (frag, chunk, m, counts, grams, marks, ids, hashes, sizes)):  # noqa: B023
+                        rows[name].append(v)  # noqa: B023
+
+                add(-1 - (chunk & ((1 << bits) - 1)), ids=ids[a:b].astype(np.int64).tobytes(), hashes=hashes[a:b].astype(np.int64).tobytes(), sizes=sizes.astype(np.int32).tobytes())
+                marks = np.zeros(0, np.uint64)
+                if m >= MOST and len(gram):
+                    plain = np.sort(gram)
+                    at, k = _runs(plain)
+                    marks = plain[at[k >= MOST]]
+                    if len(marks):
+                        hot = marks[np.minimum(np.searchsorted(marks, gram), len(marks) - 1)] == gram
+                        own = doc[hot]
+                        add((1 << bits) + (chunk & ((1 << bits) - 1)), counts=_narrow(np.bincount(own, minlength=m)), grams=gram[hot].tobytes())
+                        doc, gram = doc[~hot], gram[~hot]
+                frag = (gram >> np.uint64(64 - bits)).astype(np.int32)
+                order = np.argsort(frag, kind="stable")
+                doc, gram, frag = doc[order], gram[order], frag[order]
+                marked = (marks >> np.uint64(64 - bits)).astype(np.int64)
+                for f in np.union1d(frag, marked).tolist():
+                    s, e = np.searchsorted(frag, [f, f + 1])
+                    add(f, _narrow(np.bincount(doc[s:e], minlength=m)), _pack7(gram[s:e]), _pack7(marks[marked == f]))
                 yield _binaries(rows, _SEG)
 
     return run
@@ -122,247 +138,306 @@ def _joined(t: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()] or [np.zeros(0, kind)])
 
 
-_SHARED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("dfs", pa.binary()), ("ids", pa.binary())])
+_SHARED = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("counts", pa.binary()), ("grams", pa.binary()), ("dfs", pa.binary()), ("ids", pa.binary()), ("hashes", pa.binary()), ("sizes", pa.binary())])
 
 
-def _shared(buckets: int, bits: int):
-    """In one fragment, which holds all occurrences of its n-grams: count documents
-    of each n-gram and keep those of two or more, sorted by document again."""
+def _shared(bits: int):
+    """In one fragment, which holds all occurrences of its n-grams or a mark of them:
+    count documents of each n-gram and send those of two or more back to their chunk."""
 
     def run(t: pa.Table) -> pa.Table:
-        frag, docs = t.column("frag")[0].as_py(), t.column("docs").to_pylist()
-        own = np.concatenate([np.frombuffer(d, np.uint16) for d in docs])
-        keys = np.repeat(t.column("chunk").to_numpy(), [len(d) // 2 for d in docs]) << 16 | own
-        _, first = np.unique(keys, return_index=True)
+        frag = t.column("frag")[0].as_py()
+        _, first = np.unique(t.column("chunk").to_numpy(), return_index=True)
+        t = t.take(pa.array(first))  # a chunk repeated row by row counts once
+        chunk, n = t.column("chunk").to_numpy(), t.column("n").to_numpy()
         rows: dict = {f.name: [] for f in _SHARED}
-        bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        if frag < 0:
-            ids = _joined(t, "grams", np.int64)[first]
-            order = first[np.argsort(bucket[first], kind="stable")]
-            ids = ids[np.argsort(bucket[first], kind="stable")]
-            for s, m in zip(*_runs(bucket[order])):
-                for name in _SHARED.names:
-                    rows[name].append(b"")
-                rows["bucket"][-1], rows["keys"][-1], rows["ids"][-1] = int(bucket[order[s]]), keys[order[s : s + m]].tobytes(), ids[s : s + m].tobytes()
+        if frag < 0 or frag >= 1 << bits:
+            grams = t.column("grams").to_pylist()
+            rows = {"chunk": chunk, "n": n, "dfs": [b"\xff" * (len(g) // 8) for g in grams]} | {c: t.column(c).to_pylist() for c in ("counts", "grams", "ids", "hashes", "sizes")}
             return pa.Table.from_batches([_binaries(rows, _SHARED)])
-        sizes, counts = (np.concatenate([_widen(x, len(d) // 2) for x, d in zip(t.column(c).to_pylist(), docs)]) for c in ("sizes", "counts"))
+        held = t.column("counts").to_pylist()
+        counts = np.concatenate([_widen(c, k) for c, k in zip(held, n)])
         gram = _unpack7(_joined(t, "grams", np.uint8), frag, bits)
-        if len(first) < len(keys):  # a chunk repeated row by row counts once
-            keep = np.zeros(len(keys), bool)
-            keep[first] = True
-            gram = gram[np.repeat(keep, counts)]
-            keys, sizes, counts, bucket = keys[keep], sizes[keep], counts[keep], bucket[keep]
+        marks = np.unique(_unpack7(_joined(t, "marks", np.uint8), frag, bits))
         order = np.argsort(gram)
         _, df = _runs(gram[order])
         each = np.zeros(len(gram), np.uint8)
-        each[order] = np.repeat(np.minimum(df, 255).astype(np.uint8), df)
+        each[order] = np.repeat(np.minimum(df, MOST).astype(np.uint8), df)
         del order
+        if len(marks) and len(gram):
+            each[marks[np.minimum(np.searchsorted(marks, gram), len(marks) - 1)] == gram] = MOST
         keep = each > 1
-        run_of = np.repeat(np.arange(len(keys), dtype=np.int32), counts)[keep]
+        place = np.repeat(np.arange(len(counts)), counts)[keep]
         gram, each = gram[keep], each[keep]
-        by = np.argsort(bucket[run_of], kind="stable")
-        run_of, gram, each = run_of[by], gram[by], each[by]
-        for s, m in zip(*_runs(bucket[run_of])):
-            at, n = _runs(run_of[s : s + m])
-            d = run_of[s : s + m][at]
-            values = (int(bucket[d[0]]), keys[d].tobytes(), _narrow(sizes[d]), _narrow(n), gram[s : s + m].tobytes(), each[s : s + m].tobytes(), b"")
-            for name, v in zip(_SHARED.names, values):
-                rows[name].append(v)
+        left = np.bincount(place, minlength=len(counts))
+        docs = np.concatenate(([0], np.cumsum(n)))
+        cut = np.concatenate(([0], np.cumsum(left)))[docs]
+        for i in range(len(n)):
+            s, e = cut[i], cut[i + 1]
+            if e > s:
+                for name, v in zip(_SHARED.names, (chunk[i], n[i], _narrow(left[docs[i] : docs[i + 1]]), gram[s:e].tobytes(), each[s:e].tobytes(), b"", b"", b"")):
+                    rows[name].append(v)
         return pa.Table.from_batches([_binaries(rows, _SHARED)])
 
     return run
 
 
-_LIVE = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("prefix", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("grams", pa.binary())])
+_LIVE = pa.schema([("chunk", pa.int64()), ("no", pa.int32()), ("id", pa.int64()), ("h", pa.int64()), ("size", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("home", pa.int64()), ("prefix", pa.int32()), ("grams", pa.binary())])
 
 
 def _live(threshold: float):
-    """Sum the partial counts of each document. A partner at the threshold shares at
-    least threshold x size n-grams, so documents with fewer shared ones are out. The
-    others get their shared n-grams in the global order (frequency, hash) and the
-    length of the prefix in which any partner must meet them. Frequencies above 255
-    are alike in that order."""
+    """Sum the counts of each document of one chunk. A partner at the threshold shares
+    at least threshold x size n-grams, so documents with fewer shared ones have none:
+    they get a row without n-grams. The others get their shared n-grams in the order
+    (frequency, hash), the length of the prefix in which any partner must meet them,
+    two sums that equal sets have alike, and the least mixed hash, which documents of
+    similar sets mostly have alike. A document with an n-gram of its own equals no
+    other, so its identifier and hash stand for the sums."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids = _joined(t, "ids", np.int64)
-        names = t.filter(pa.compute.greater(pa.compute.binary_length(t.column("ids")), 0))
-        t = t.filter(pa.compute.equal(pa.compute.binary_length(t.column("ids")), 0))
-        name = _joined(names, "keys", np.int64)
-        order = np.argsort(name)
-        name, ids = name[order], ids[order]
-        keys, n = _joined(t, "keys", np.int64), [len(x) // 8 for x in t.column("keys").to_pylist()]
-        sizes, counts = (np.concatenate([_widen(x, k) for x, k in zip(t.column(c).to_pylist(), n)] or [np.zeros(0, np.int64)]) for c in ("sizes", "counts"))
+        named = [i for i, x in enumerate(t.column("ids").to_pylist()) if x]
+        n = t.column("n")[0].as_py()
+        ids, hashes = (np.frombuffer(t.column(c)[named[0]].as_py(), np.int64) for c in ("ids", "hashes"))
+        size = np.frombuffer(t.column("sizes")[named[0]].as_py(), np.int32).astype(np.int64)
+        chunk = t.column("chunk")[0].as_py()
+        held = [_widen(c, n) for c in t.column("counts").to_pylist() if c]
+        doc = np.concatenate([np.repeat(np.arange(n), c) for c in held] or [np.zeros(0, np.int64)])
         gram, df = _joined(t, "grams", np.uint64), _joined(t, "dfs", np.uint8)
-        own, back = np.unique(keys, return_inverse=True)
-        shared = np.bincount(back, weights=counts, minlength=len(own)).astype(np.int64)
-        size = np.zeros(len(own), np.int32)
-        size[back] = sizes
-        need = np.array([math.ceil(threshold * int(s) - 1e-9) for s in size], np.int64)
-        ok = shared >= np.maximum(need, 1)
-        doc = np.repeat(back, counts)
+        shared = np.bincount(doc, minlength=n)
+        need = np.maximum(np.ceil(threshold * size - 1e-9).astype(np.int64), 1)
+        ok = shared >= need
         keep = ok[doc]
         doc, gram, df = doc[keep], gram[keep], df[keep]
         order = np.lexsort((gram, df, doc))
         doc, gram = doc[order], gram[order]
-        rows: dict = {f.name: [] for f in _LIVE}
-        for s, m in zip(*_runs(doc)):
-            d, g = doc[s], gram[s : s + m]
-            whole = m == size[d]
-            rows["key"].append(int(own[d]))
-            rows["id"].append(int(ids[np.searchsorted(name, own[d])]))
-            rows["size"].append(int(size[d]))
-            rows["prefix"].append(int(m - need[d] + 1))
-            rows["sig1"].append(int(g.sum(dtype=np.uint64).view(np.int64)) if whole else None)
-            rows["sig2"].append(int(mix(g).sum(dtype=np.uint64).view(np.int64)) if whole else None)
-            rows["grams"].append(g.tobytes())
-        return pa.Table.from_batches([_binaries(rows, _LIVE)])
+        at, m = _runs(doc)
+        d = doc[at]
+        whole = m == size[d]
+        mixed = mix(gram)
+        rest = np.flatnonzero(~ok)
+        none = [None] * len(rest)
+        s1 = np.where(whole, np.add.reduceat(gram, at).view(np.int64) if len(at) else 0, ids[d])
+        s2 = np.where(whole, np.add.reduceat(mixed, at).view(np.int64) if len(at) else 0, hashes[d])
+        home = np.minimum.reduceat(mixed, at).view(np.int64) if len(at) else np.zeros(0, np.int64)
+        cut = np.append(at, len(gram))
+        columns = {
+            "chunk": np.full(n, chunk),
+            "no": np.concatenate([d, rest]),
+            "id": ids[np.concatenate([d, rest])],
+            "h": hashes[np.concatenate([d, rest])],
+            # sets with a lone n-gram are told from whole ones by the sign
+            "size": np.concatenate([np.where(whole, size[d], -size[d]), size[rest]]),
+            "s1": [*s1.tolist(), *none],
+            "s2": [*s2.tolist(), *none],
+            "home": [*home.tolist(), *none],
+            "prefix": [*(m - need[d] + 1).tolist(), *none],
+            "grams": [*(gram[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:])), *none],
+        }
+        return pa.Table.from_batches([_binaries(columns, _LIVE)])
 
     return run
 
 
-_PRE = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
+_PRE = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
 
 
 def _prefixes(bits: int):
     def run(batches):
         for batch in batches:
             grams = [np.frombuffer(g, np.uint64)[:p] for g, p in zip(batch.column("grams").to_pylist(), batch.column("prefix").to_pylist())]
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            keys, sizes = batch.column("key").to_numpy(zero_copy_only=False), batch.column("size").to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(keys)), [len(g) for g in grams])
             gram = np.concatenate(grams or [np.zeros(0, np.uint64)])
-            bucket = (gram >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(gram), np.int32)
+            bucket = (gram >> np.uint64(64 - bits)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             bucket, gram, owner = bucket[order], gram[order], owner[order]
             rows: dict = {f.name: [] for f in _PRE}
             for s, m in zip(*_runs(bucket)):
                 at, counts = _runs(owner[s : s + m])
-                rows["bucket"].append(int(bucket[s]))
-                rows["keys"].append(keys[owner[s : s + m][at]].tobytes())
-                rows["counts"].append(counts.astype(np.int32).tobytes())
-                rows["grams"].append(gram[s : s + m].tobytes())
+                own = owner[s : s + m][at]
+                for name, v in zip(_PRE.names, (int(bucket[s]), keys[own].tobytes(), sizes[own].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), gram[s : s + m].tobytes())):
+                    rows[name].append(v)
             yield _binaries(rows, _PRE)
 
     return run
 
 
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_WANT = pa.schema([("key", pa.int64()), ("other", pa.int64())])
 
 
-def _stars(t: pa.Table) -> pa.Table:
-    """Documents that meet in a prefix n-gram hang on the smallest of them."""
-    keys, gram = _joined(t, "keys", np.int64), _joined(t, "grams", np.uint64)
-    keys = np.repeat(keys, _joined(t, "counts", np.int32))
-    order = np.argsort(gram)
-    keys, gram = keys[order], gram[order]
-    starts, lengths = _runs(gram)
-    least = np.repeat(np.minimum.reduceat(keys, starts), lengths) if len(keys) else keys
-    pairs = np.unique(np.stack([keys, least], 1)[keys != least], axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, schema=_EDGE)
+def _meets(threshold: float):
+    """(set, block): blocks in which a set meets another one in a prefix n-gram, with
+    sizes that allow the threshold. Never more rows than pairs that meet, and for many
+    sets that all meet only one row for each set and block."""
 
+    def run(t: pa.Table) -> pa.Table:
+        keys, size, gram = (_joined(t, c, k) for c, k in (("keys", np.int64), ("sizes", np.int32), ("grams", np.uint64)))
+        place = np.repeat(np.arange(len(keys)), _joined(t, "counts", np.int32))
+        order = np.lexsort((keys[place], gram))
+        place, gram = place[order], gram[order]
+        starts, lengths = _runs(gram)
+        own, back = np.unique(keys, return_inverse=True)
+        block, of = np.unique(own >> BLOCK_BITS, return_inverse=True)
+        found = [np.zeros(0, np.int64)]
+
+        def add(a, b):
+            found.append(np.unique(back[a].astype(np.int64) * len(block) + of[back[b]]))
+
+        for k in np.unique(lengths[(lengths > 1) & (lengths <= 64)]):
+            x, y = np.nonzero(~np.eye(k, dtype=bool))
+            every = starts[lengths == k]
+            for lo in range(0, len(every), max(1, (1 << 20) // (k * k))):
+                group = place[every[lo : lo + max(1, (1 << 20) // (k * k))][:, None] + np.arange(k)]
+                a, b = group[:, x].ravel(), group[:, y].ravel()
+                near = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
+                add(a[near], b[near])
+        for s, k in zip(starts[lengths > 64], lengths[lengths > 64]):
+            group = place[s : s + k]
+            blocks, one, number = np.unique(of[back[group]], return_index=True, return_counts=True)
+            for i, b, n in zip(one, blocks, number):
+                others = group if n > 1 else group[of[back[group]] != b]
+                add(others, np.full(len(others), group[i]))
+            if len(found) > 256:
+                found[:] = [np.unique(np.concatenate(found))]
+        code = np.unique(np.concatenate(found))
+        return pa.table([own[code // len(block)] if len(code) else code, block[code % len(block)] if len(code) else code], schema=_WANT)
+
+    return run
 
-_CELL = pa.schema([("cell", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("root", pa.int64()), ("block", pa.int32()), ("size", pa.int32()), ("ids", pa.binary()), ("grams", pa.binary())])
 
+_CELL = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("fragment", pa.int32()), ("key", pa.int64()), ("size", pa.int32()), ("weight", pa.int64()), ("lengths", pa.binary()), ("grams", pa.binary())])
 
-def _cells(buckets: int, block: int):
-    """Send each document to the cells in which its component is counted: one of
-    several small components, or a pair of blocks of a large one."""
+
+def _cut(parts: int):
+    """Send each set to its cells (a pair of blocks), cut into `parts` vertical
+    fragments, which are ranges of the order of mixed hashes."""
 
     def run(batches):
         for batch in batches:
             rows: dict = {f.name: [] for f in _CELL}
-            for ids, size, grams, root, m, rank in zip(*(batch.column(c).to_pylist() for c in ("ids", "size", "grams", "root", "m", "rank"))):
-                own, blocks = (rank - 1) // block, (m - 1) // block + 1
-                if blocks == 1:
-                    to = [(int(mix(np.array([root], np.int64).view(np.uint64))[0] % np.uint64(buckets)), -1, -1)]
-                else:
-                    to = [(root, min(own, o), max(own, o)) for o in range(blocks)]
-                packed = np.array(ids, np.int64).tobytes()
-                for cell, i, j in to:
-                    for name, x in zip(_CELL.names, (cell, i, j, root, own, size, packed, grams)):
-                        rows[name].append(x)
-                if len(rows["cell"]) > 5000:
+            size = 0
+            for key, n, weight, grams, others in zip(*(batch.column(c).to_pylist() for c in ("key", "size", "weight", "grams", "others"))):
+                gram = np.sort(mix(np.frombuffer(grams, np.uint64)))
+                edges = np.searchsorted(gram, (np.arange(1, parts, dtype=np.float64) * 2.0**64 / parts).astype(np.uint64))
+                pieces = np.split(gram, edges)
+                lengths = np.array([len(p) for p in pieces], np.int32).tobytes()
+                own = key >> BLOCK_BITS
+                for o in others:
+                    for f, piece in enumerate(pieces):
+                        for name, x in zip(_CELL.names, (min(own, o), max(own, o), f, key, n, weight, lengths, piece.tobytes())):
+                            rows[name].append(x)
+                    size += len(gram)
+                if size > 1 << 20 or len(rows["i"]) > 20_000:
                     yield _binaries(rows, _CELL)
-                    rows = {f.name: [] for f in _CELL}
+                    rows, size = {f.name: [] for f in _CELL}, 0
             yield _binaries(rows, _CELL)
 
     return run
 
 
+_PARTIAL = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("weights", pa.binary()), ("pairs", pa.binary()), ("counts", pa.binary())])
+
+
+def _counted(doc: np.ndarray, gram: np.ndarray, total: int) -> np.ndarray:
+    """(total, total): common n-grams of each pair x < y of sets. An n-gram of few sets
+    lists its pairs; those of HEAVY sets or more are the columns of a 0/1 matrix whose
+    square has the counts."""
+    order = np.lexsort((doc, gram))
+    doc, gram = doc[order], gram[order]
+    starts, n = _runs(gram)
+    out = np.zeros(total * total, np.int32)
+    for k in np.unique(n[(n > 1) & (n < HEAVY)]):
+        x, y = np.triu_indices(k, 1)
+        every = starts[n == k]
+        step = max(1, (1 << 19) // (k * k))
+        for lo in range(0, len(every), step):
+            group = doc[every[lo : lo + step][:, None] + np.arange(k)]
+            code, c = np.unique(group[:, x] * total + group[:, y], return_counts=True)
+            out[code] += c.astype(np.int32)
+    out = out.reshape(total, total)
+    heavy = np.flatnonzero(n >= HEAVY)
+    if len(heavy):
+        square = np.zeros((total, total), np.float32)
+        for lo in range(0, len(heavy), 1024):
+            cols = heavy[lo : lo + 1024]
+            col, inside = _expand(n[cols])
+            x = np.zeros((total, len(cols)), np.float32)
+            x[doc[starts[cols][col] + inside], col] = 1
+            square += x @ x.T
+        out += np.triu(square, 1).astype(np.int32)
+    return out
+
+
+def _partial(threshold: float):
+    """The overlaps of all pairs of one cell within one fragment. A pair that cannot
+    reach the threshold even if the shorter segment of every other fragment were
+    wholly shared is left out."""
+
+    def run(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("key").to_numpy())
+        t = t.take(pa.array(order))
+        keys, size, weight = (t.column(c).to_numpy() for c in ("key", "size", "weight"))
+        i, j, f = (t.column(c)[0].as_py() for c in ("i", "j", "fragment"))
+        lengths = np.array([np.frombuffer(x, np.int32) for x in t.column("lengths").to_pylist()])
+        grams = [np.frombuffer(g, np.uint64) for g in t.column("grams").to_pylist()]
+        counts = _counted(np.repeat(np.arange(len(keys)), [len(g) for g in grams]), np.concatenate(grams), len(keys))
+        a, b = np.nonzero(counts)
+        c = counts[a, b]
+        if i != j:  # pairs within a block belong to the cell of that block
+            block = keys >> BLOCK_BITS
+            across = block[a] != block[b]
+            a, b, c = a[across], b[across], c[across]
+        most = c + np.minimum(lengths[a], lengths[b]).sum(1) - np.minimum(lengths[a, f], lengths[b, f])
+        ok = most * (1 + threshold) >= threshold * (size[a].astype(np.int64) + size[b]) - 1e-6
+        code = (a[ok] * len(keys) + b[ok]).astype(np.uint32)
+        row = (i, j, keys.tobytes(), size.astype(np.int32).tobytes(), weight.tobytes(), code.tobytes(), c[ok].astype(np.int32).tobytes())
+        return pa.Table.from_arrays([pa.array([v], x.type) for v, x in zip(row, _PARTIAL)], schema=_PARTIAL)
+
+    return run
+
+
+def _similar(t: pa.Table, threshold: float):
+    """Sum the partial overlaps of each pair of a cell: (keys, weights, x, y, overlap,
+    Jaccard) of the pairs at the threshold, x and y as places in keys."""
+    keys, size, weight = (np.frombuffer(t.column(c)[0].as_py(), k) for c, k in (("keys", np.int64), ("sizes", np.int32), ("weights", np.int64)))
+    code, back = np.unique(_joined(t, "pairs", np.uint32), return_inverse=True)
+    c = np.bincount(back, weights=_joined(t, "counts", np.int32), minlength=len(code)).astype(np.int64)
+    x, y = code.astype(np.int64) // len(keys), code.astype(np.int64) % len(keys)
+    similar = c / (size[x].astype(np.int64) + size[y] - c)
+    ok = similar >= threshold
+    return keys, weight, x[ok], y[ok], c[ok], similar[ok]
+
+
+_LINK = pa.schema([("key", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+
+def _links(threshold: float):
+    """For each set with a partner in the cell: its partners, copies counted, and the
+    least set that links within the cell lead to."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, weight, x, y, _, _ = _similar(t, threshold)
+        links = np.bincount(x, weights=weight[y], minlength=len(keys)) + np.bincount(y, weights=weight[x], minlength=len(keys))
+        root, before = np.arange(len(keys)), None
+        while before is None or (root != before).any():
+            before = root.copy()
+            low = np.minimum(root[x], root[y])
+            np.minimum.at(root, x, low)
+            np.minimum.at(root, y, low)
+            root = root[root]
+        linked = links > 0
+        return pa.table([keys[linked], links[linked].astype(np.int64), keys[root[linked]]], schema=_LINK)
+
+    return run
+
+
 _PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("overlap", pa.int32()), ("jaccard", pa.float64())])
 
 
-def _counts(docs: np.ndarray, comp: np.ndarray, segs: list, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, n): pairs of one component and their common n-grams. The hash order is
-    cut into fragments that are counted apart from each other; partial counts are
-    summed per pair. An n-gram of few documents lists its pairs; those of HEAVY
-    documents or more are the columns of a 0/1 matrix whose square has the counts."""
-    total = len(segs)
-    lengths = np.array([len(segs[x]) for x in docs])
-    gram, doc, of = np.concatenate([segs[x] for x in docs]), np.repeat(docs, lengths), np.repeat(comp, lengths)
-    fragment = mix(gram) % np.uint64(parts)
-    codes, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for f in range(parts):
-        at = np.flatnonzero(fragment == f)
-        at = at[np.lexsort((doc[at], gram[at], of[at]))]
-        g, d, o = gram[at], doc[at], of[at]
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (o[1:] != o[:-1])
-        starts = np.flatnonzero(new)
-        n = np.diff(np.append(starts, len(g)))
-        found = []
-        for k in np.unique(n[(n > 1) & (n < HEAVY)]):
-            group = d[starts[n == k][:, None] + np.arange(k)]
-            x, y = np.triu_indices(k, 1)
-            found.append((group[:, x] * total + group[:, y]).ravel())
-        if found:
-            code, c = np.unique(np.concatenate(found), return_counts=True)
-            codes.append(code)
-            sums.append(c)
-        heavy = np.flatnonzero(n >= HEAVY)
-        for s, m in zip(*_runs(o[starts[heavy]])):
-            cols = heavy[s : s + m]
-            size = n[cols]
-            col, inside = _expand(size)
-            member = d[starts[cols][col] + inside]
-            own, row = np.unique(member, return_inverse=True)
-            square = np.zeros((len(own), len(own)), np.float32)
-            for lo in range(0, m, 1024):
-                part = (col >= lo) & (col < lo + 1024)
-                x = np.zeros((len(own), min(1024, m - lo)), np.float32)
-                x[row[part], col[part] - lo] = 1
-                square += x @ x.T
-            a, b = np.nonzero(np.triu(square, 1))
-            codes.append(own[a] * total + own[b])
-            sums.append(square[a, b].astype(np.int64))
-    code, back = np.unique(np.concatenate(codes), return_inverse=True)
-    return code // total, code % total, np.bincount(back, weights=np.concatenate(sums), minlength=len(code)).astype(np.int64)
-
-
-def _overlaps(threshold: float, parts: int):
+def _pairs(threshold: float):
     def run(t: pa.Table) -> pa.Table:
-        root, block, size = (t.column(c).to_numpy() for c in ("root", "block", "size"))
-        segs = [np.frombuffer(g, np.uint64) for g in t.column("grams").to_pylist()]
-        ids = [np.frombuffer(x, np.int64) for x in t.column("ids").to_pylist()]
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        order = np.argsort(root, kind="stable")
-        a, b, c = _counts(order, np.unique(root[order], return_inverse=True)[1], segs, parts)
-        if i >= 0 and i != j:  # pairs within a block belong to the cell of that block
-            other = block[a] != block[b]
-            a, b, c = a[other], b[other], c[other]
-        similar = c / (size[a].astype(np.int64) + size[b] - c)
-        ok = similar >= threshold
-        a, b, c, similar = a[ok], b[ok], c[ok], similar[ok]
-        # documents of equal sets stand for all their identifiers
-        many, head = np.array([len(x) for x in ids]), np.array([x[0] for x in ids])
-        one = (many[a] == 1) & (many[b] == 1)
-        out = [(head[a[one]], head[b[one]], c[one], similar[one])]
-        for p, q, n, s in zip(a[~one], b[~one], c[~one], similar[~one]):
-            x, y = np.repeat(ids[p], len(ids[q])), np.tile(ids[q], len(ids[p]))
-            out.append((x, y, np.full(len(x), n), np.full(len(x), s)))
-        x, y, c, s = (np.concatenate([o[k] for o in out]) for k in range(4))
-        other = x != y
-        x, y, c, s = x[other], y[other], c[other], s[other]
-        return pa.table([np.minimum(x, y), np.maximum(x, y), c.astype(np.int32), s.astype(np.float64)], schema=_PAIR)
+        keys, _, x, y, c, similar = _similar(t, threshold)
+        return pa.table([keys[x], keys[y], c.astype(np.int32), similar], schema=_PAIR)
 
     return run
 
@@ -372,80 +447,102 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
 
 
-def jaccard_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, parts: int = PARTS, block: int = BLOCK) -> DataFrame:
-    """All pairs of documents whose sets of word n-grams have a Jaccard similarity of
-    at least threshold: (doc_id_a, doc_id_b, overlap, jaccard), doc_id_a < doc_id_b.
+def _sets(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, sets, partial counts): documents (id, h, size, s1, s2), once each;
+    sets (key, size, s1, s2, weight, least, least_h), once for equal ones that may
+    have a partner; partial overlaps by cell and fragment."""
+    small_batches(df.sparkSession)
+    keyed = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL").select("id", F.xxhash64("id", "text").alias("hash"), "text")
+    # the fragment implies the leading 8 bits or more of a hash, and 56 are stored
+    bits = min(24, max(8, round(math.log2(tasks_for(df, 16 << 20, 8, 2.0)))))
+    segments = keyed.mapInArrow(lean(_segments(n, bits)), _ddl(_SEG))
+    shared = segments.groupBy("frag").applyInArrow(lean(_shared(bits)), _ddl(_SHARED))
+    live = stored(shared.groupBy("chunk").applyInArrow(lean(_live(threshold)), _ddl(_LIVE)), "jaccard-live")
+    docs = live.groupBy("id", "h").agg(F.min(F.struct("chunk", "no", "size", "s1", "s2", "home")).alias("d")).select("id", "h", "d.*")
+    docs = stored(docs, "jaccard-docs")
+    able = docs.where("s1 IS NOT NULL").groupBy("s1", "s2", "size")
+    sets = stored(able.agg(F.count("*").alias("weight"), F.min(F.struct("id", "h")).alias("least"), F.min(F.struct("chunk", "no")).alias("rep"), F.min("home").alias("home")), "jaccard-sets")
+    # keys follow the order of homes, so that similar sets are mostly in one block
+    order = sets.repartitionByRange("home", "s1", "s2").sortWithinPartitions("home", "s1", "s2")
+    sets = stored(order.select(F.monotonically_increasing_id().alias("key"), "size", "s1", "s2", "weight", F.col("least.id").alias("least"), F.col("least.h").alias("least_h"), "rep.chunk", "rep.no"), "jaccard-sets")
+    reps = live.where("s1 IS NOT NULL").select("chunk", "no", "prefix", "grams").join(small(sets.select("chunk", "no", "key", F.abs("size").alias("size"), "weight"), 48), ["chunk", "no"])
+    met = reps.select("key", "size", "prefix", "grams").mapInArrow(lean(_prefixes(bits - 2)), _ddl(_PRE)).groupBy("bucket").applyInArrow(lean(_meets(threshold)), _ddl(_WANT))
+    wants = stored(met.groupBy("key").agg(F.collect_set("other").alias("others")), "jaccard-wants")
+    cells = reps.select("key", "size", "weight", "grams").join(small(wants, 40), "key").mapInArrow(lean(_cut(parts)), _ddl(_CELL))
+    return docs, sets, cells.groupBy("i", "j", "fragment").applyInArrow(lean(_partial(threshold)), _ddl(_PARTIAL))
+
+
+def representative_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, parts: int = PARTS) -> DataFrame:
+    """(doc_id_a, doc_id_b, overlap, jaccard): all pairs of different sets of n-grams at
+    the threshold, each set under its least identifier; documents() tells the copies.
+    Odd rows are handled as there. The number of rows may grow with the square of the
+    number of near copies of one text."""
+    _, sets, partial = _sets(df, id_col, text_col, n, threshold, parts)
+    pairs = partial.groupBy("i", "j").applyInArrow(lean(_pairs(threshold)), _ddl(_PAIR))
+    x, y = sets.select(F.col("key").alias("x"), F.col("least").alias("p")), sets.select(F.col("key").alias("y"), F.col("least").alias("q"))
+    return pairs.join(x, "x").join(y, "y").select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b"), "overlap", "jaccard")
+
+
+def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, parts: int = PARTS) -> DataFrame:
+    """(id, h, class_id, class_h, links): every document, which is a distinct pair of
+    identifier and text (h: xxhash64 of both), with the least document of its class and
+    the number of documents whose sets of word n-grams have a Jaccard similarity of at
+    least threshold with its own. Classes are what such links connect.
 
     The global order of n-grams is cut into fragments by hash range; each fragment
-    counts, apart from the others, the documents of its n-grams. The sums per
-    document decide exactly which documents can have a partner at all. These get the
-    prefix filter under the order (frequency, hash), with n-grams that few documents
-    share first, so that common passages propose nobody. Documents that meet in a
-    prefix make components; within a component the overlaps of all pairs are counted
-    in `parts` vertical fragments, apart from each other, and the partial counts are
-    summed per pair; components of more than `block` documents go in pairs of blocks,
-    and n-grams that many documents of a component share by matrix products. There
-    is no cap and no sampling: the result is exact up to equality of 64-bit hashes.
-
-    Words are what white space divides, lower-cased. A text of fewer than n words
-    has one n-gram, of all its words; null, empty or blank texts have none and no
-    partner. Rows with a null identifier are left out. Rows repeated as a whole count
-    once; different texts under one identifier are documents of their own, and pairs
-    of one identifier with itself are not returned. An empty table gives no rows.
-    Other columns are not read.
+    counts, apart from the others, the documents of its n-grams. The sums per document
+    decide exactly which documents can have a partner at all. Equal sets are counted
+    as one with a weight. Sets that meet in a prefix of the order (frequency, hash),
+    with n-grams that few documents share first, are candidates; similar sets mostly
+    lie in one block of 1,024, and a set is sent to the blocks in which it meets
+    another. A pair of blocks is counted in `parts` vertical fragments by different
+    tasks; their partial overlaps are summed per pair. There is no cap and no sampling:
+    the result is exact up to equality of 64-bit hashes of n-grams.
+
+    Words are what white space divides, lower-cased. A text of fewer than n words has
+    one n-gram, of all its words; null, empty or blank texts have none and no link.
+    Rows with a null identifier are left out. Rows repeated as a whole count once;
+    different texts under one identifier are documents of their own. Texts of any
+    length are read whole. An empty table gives no rows. Other columns are not read.
+    Identifiers are whole numbers, or strings of such.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    keyed = base.withColumn("hash", F.xxhash64("id", "text"))
-    bits = min(24, max(3, round(math.log2(tasks_for(df, 16 << 20, 8, 2.0)))))
-    segments = keyed.select("id", "hash", "text").mapInArrow(_segments(n, bits), _ddl(_SEG))
-    shared = segments.groupBy("frag").applyInArrow(_shared(1 << (bits - 1), bits), _ddl(_SHARED))
-    live = stored(shared.groupBy("bucket").applyInArrow(_live(threshold), _ddl(_LIVE)), "jaccard-live")
-    # documents of equal sets are counted as one that carries all their identifiers
-    alone = F.when(F.col("sig1").isNull(), F.col("key"))
-    ids = stored(live.groupBy("sig1", "sig2", "size", alone.alias("alone")).agg(F.min("key").alias("key"), F.sort_array(F.collect_set("id")).alias("ids")), "jaccard-ids")
-    low = max(0, bits - 2)
-    reps = live.select("key", "prefix", "grams").join(small(ids.select("key"), 16), "key", "left_semi")
-    edges = reps.mapInArrow(_prefixes(low), _ddl(_PRE)).groupBy("bucket").applyInArrow(_stars, _ddl(_EDGE))
-    roots = components(edges, "jaccard-cc")
-    # the places of documents are narrow; the n-grams move once more, to their cells
-    placed = roots.withColumnRenamed("node", "key").join(ids.select("key", "ids", "size"), "key")
-    count = placed.groupBy("root").agg(F.count("*").cast("int").alias("m")).where("m > 1")
-    placed = placed.join(count, "root").withColumn("rank", F.expr("row_number() OVER (PARTITION BY root ORDER BY key)"))
-    placed = stored(placed, "jaccard-placed")
-    cells = live.select("key", "grams").join(small(placed, 96), "key").mapInArrow(_cells(1 << bits, block), _ddl(_CELL))
-    across = cells.groupBy("cell", "i", "j").applyInArrow(_overlaps(threshold, parts), _ddl(_PAIR))
-    first = ids.where("size(ids) > 1").select("ids", "size", F.posexplode("ids").alias("p", "x"))
-    within = first.select("x", F.explode(F.expr("slice(ids, p + 2, size(ids))")).alias("y"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    pairs = across.union(within).select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b"), "overlap", "jaccard")
-    # only an identifier with several texts can make a pair twice
-    if ids.select(F.explode("ids").alias("id")).groupBy("id").count().where("count > 1").isEmpty():
-        return pairs
-    return pairs.groupBy("doc_id_a", "doc_id_b").agg(F.max(F.struct("jaccard", "overlap")).alias("s")).select("doc_id_a", "doc_id_b", "s.overlap", "s.jaccard")
-
-
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, root): documents that are linked by pairs at the threshold, with the
-    smallest identifier of their group."""
-    pairs = jaccard_pairs(df, id_col, text_col, n, threshold)
-    return components(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")), "near").select(F.col("node").alias("id"), "root")
+    docs, sets, partial = _sets(df, id_col, text_col, n, threshold, parts)
+    linked = stored(partial.groupBy("i", "j").applyInArrow(lean(_links(threshold)), _ddl(_LINK)), "jaccard-links")
+    roots = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")), "jaccard-cc").select(F.col("node").alias("key"), "root")
+    links = linked.groupBy("key").agg(F.sum("links").alias("links"))
+    full = sets.select("key", "size", "s1", "s2", "weight", F.struct("least", "least_h").alias("least")).join(links, "key", "left").join(roots, "key", "left")
+    full = stored(full.withColumn("root", F.coalesce("root", "key")).withColumn("links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1), "jaccard-full")
+    classes = full.groupBy("root").agg(F.min("least").alias("c"))
+    full = stored(full.where("links > 0").join(small(classes, 32), "root").select("size", "s1", "s2", "links", "c"), "jaccard-classes")
+    out = docs.join(small(full, 56), ["size", "s1", "s2"], "left")
+    return out.select("id", "h", F.coalesce("c.least", "id").alias("class_id"), F.coalesce("c.least_h", "h").alias("class_h"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, parts: int = PARTS) -> DataFrame:
+    """(id_col, class_id, n_links) for every document of documents(): class_id is the
+    least identifier of the class, its own where there is no link."""
+    found = documents(df, id_col, text_col, n, threshold, parts)
+    return found.select(F.col("id").alias(id_col), "class_id", F.col("links").alias("n_links"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """df without the rows of near_groups() whose identifier is not the smallest of
-    its group; all columns and all other rows are kept, those with a null identifier
-    or without a word too."""
-    away = stored(near_groups(df, id_col, text_col, n, threshold).where("id <> root").select(F.col("id").alias("_near_id")), "near-away")
-    return df.join(small(away, 24), df[id_col].cast("long") == F.col("_near_id"), "left_anti")
+    """df with one document of each class of documents(), that of the least identifier;
+    all columns are kept. A document is an identifier with its text, so other texts
+    under the identifier of a dropped one stay. Rows that repeat the kept document stay
+    too, as do rows with a null identifier or without a word. Clashing column names do
+    not matter. An empty table stays empty."""
+    away = documents(df, id_col, text_col, n, threshold).where("id <> class_id OR h <> class_h")
+    away = stored(away.select(F.col("id").alias("_near_id"), F.col("h").alias("_near_h")), "near-away")
+    own = df[id_col].cast("long")
+    return df.join(small(away, 32), (own == F.col("_near_id")) & (F.xxhash64(own, df[text_col]) == F.col("_near_h")), "left_anti")
 
 
 def op5_ngram_jaccard(spark, sf_dir):
-    return jaccard_pairs(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"))
 
 
 SQL = f"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM documents
   WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 g AS (
@@ -453,7 +550,10 @@ g AS (
     ELSE list_transform(range(1, len(ws) - {N} + 2), lambda i: array_to_string(ws[i : i + {N} - 1], ' ')) END) AS gram
   FROM w WHERE len(ws) > 0),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a AS doc_id_a, b AS doc_id_b, CAST(c AS INTEGER) AS overlap, c / (x.n + y.n - c) AS jaccard
-FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= {THRESHOLD}
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+p AS (SELECT a, b FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= {THRESHOLD}),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents WHERE doc_id IS NOT NULL UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d),
+k AS (SELECT d, min(c) AS class_id FROM r GROUP BY d)
+SELECT d AS doc_id, class_id, (SELECT count(*) FROM e WHERE e.a = k.d) AS n_links FROM k
 """

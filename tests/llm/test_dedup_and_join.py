@@ -93,23 +93,42 @@ def test_trie_and_spill(spark):
 
 
 def brute_pairs(rows, n, t):
+    """Similar pairs of different documents; a document is an identifier and a text."""
     sets = {}
     for i, text in rows:
         w = (text or "").lower().split()
-        if i is not None and w:
-            sets[i, text] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
+        if i is not None:
+            sets[i, text or ""] = {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
     out = {}
     keys = sorted(sets)
     for x in range(len(keys)):
         for y in range(x):
             a, b = keys[y], keys[x]
-            s = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            if a[0] != b[0] and s >= t:
-                out[a[0], b[0]] = max(s, out.get((a[0], b[0]), 0))
-    return out
+            if s := len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])):
+                if s >= t:
+                    out[a, b] = s
+    return keys, out
 
 
-def test_ngram_pairs_against_brute_force(spark):
+def brute_classes(rows, n, t):
+    """{document: (least identifier of its class, links)}"""
+    keys, pairs = brute_pairs(rows, n, t)
+    parent, links = {k: k for k in keys}, dict.fromkeys(keys, 0)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {k: (find(k)[0], links[k]) for k in keys}
+
+
+def near_rows():
     rng = random.Random(8)
     common = " ".join(f"c{i}" for i in range(30))
     texts = []
@@ -121,26 +140,86 @@ def test_ngram_pairs_against_brute_force(spark):
                 w[rng.randrange(len(w))] = f"z{rng.randrange(9999)}"
             texts.append(" ".join(w) + (" " + common if g % 2 else ""))
     hot = [f"h{i}" for i in range(80)]
-    for i in range(70):  # a large component, counted by matrix products and blocks
+    for i in range(70):  # many near copies, counted by matrix products
         w = list(hot)
         w[i % 80] = f"e{i}"
         texts += [" ".join(w)] * (2 if i % 10 == 0 else 1)
-    rows = list(enumerate(texts))
+    return list(enumerate(texts))
+
+
+def test_ngram_classes_against_brute_force(spark, monkeypatch):
+    rows = near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for n, t, block in ((4, 0.4, 16), (3, 0.6, 512)):
-        got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in ngram_join.jaccard_pairs(df, n=n, threshold=t, block=block).collect()}
-        assert got == brute_pairs(rows, n, t)
+    for n, t in ((4, 0.4), (3, 0.6)):
+        got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.classes(df, n=n, threshold=t).collect()}
+        assert got == {k[0]: v for k, v in brute_classes(rows, n, t).items()}
+    texts = dict(rows)
+    pairs = {(texts[r.doc_id_a], texts[r.doc_id_b]): r.jaccard for r in ngram_join.representative_pairs(df).collect()}
+    want = {(a[1], b[1]): s for (a, b), s in brute_pairs(rows, 4, 0.4)[1].items() if a[1] != b[1]}
+    assert {tuple(sorted(k)): v for k, v in pairs.items()} == {tuple(sorted(k)): v for k, v in want.items()}
+
+
+def test_ngram_steps_with_small_blocks(monkeypatch):
+    """The cells of pairs of blocks and the marks of frequent n-grams, without Spark."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "BLOCK_BITS", 4)
+    monkeypatch.setattr(ngram_join, "MOST", 9)
+    rows = near_rows()
+    bits, t = 8, 0.4
+    batch = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([i * 77 for i, _ in rows]), pa.array([x for _, x in rows])], names=["id", "hash", "text"])
+
+    def grouped(tables, keys, step):
+        whole = pa.Table.from_batches(tables) if isinstance(tables[0], pa.RecordBatch) else pa.concat_tables(tables)
+        found = {}
+        for i, k in enumerate(zip(*(whole.column(c).to_pylist() for c in keys))):
+            found.setdefault(k, []).append(i)
+        return [step(whole.take(pa.array(v))) for v in found.values()]
+
+    segments = list(ngram_join._segments(4, bits)([batch]))
+    assert any(x >= 1 << bits for x in segments[0].column("frag").to_pylist())
+    live = pa.concat_tables(grouped(grouped(segments, ["frag"], ngram_join._shared(bits)), ["chunk"], ngram_join._live(t)))
+    assert live.num_rows == len(rows)
+    reps = [r for r in live.to_pylist() if r["grams"]]
+    reps = pa.record_batch([pa.array(range(len(reps))), pa.array([abs(r["size"]) for r in reps], pa.int32()), pa.array([r["prefix"] for r in reps], pa.int32()), pa.array([r["grams"] for r in reps])], names=["key", "size", "prefix", "grams"])
+    ids = [r["id"] for r in live.to_pylist() if r["grams"]]
+    wants = {}
+    for w in grouped(list(ngram_join._prefixes(6)([reps])), ["bucket"], ngram_join._meets(t)):
+        for r in w.to_pylist():
+            wants.setdefault(r["key"], set()).add(r["other"])
+    chosen = [r | {"weight": 1, "others": sorted(wants[r["key"]])} for r in reps.to_pylist() if r["key"] in wants]
+    cells = list(ngram_join._cut(3)([pa.RecordBatch.from_pylist(chosen)]))
+    partial = grouped(cells, ["i", "j", "fragment"], ngram_join._partial(t))
+    assert len({(p.column("i")[0].as_py(), p.column("j")[0].as_py()) for p in partial}) > 10
+    got = {tuple(sorted((ids[r["x"]], ids[r["y"]]))): r["jaccard"] for p in grouped(partial, ["i", "j"], ngram_join._pairs(t)) for r in p.to_pylist()}
+    assert got == {(a[0], b[0]): s for (a, b), s in brute_pairs(rows, 4, t)[1].items()}
+    links = np.zeros(len(ids))
+    for p in grouped(partial, ["i", "j"], ngram_join._links(t)):
+        for r in p.to_pylist():
+            links[r["key"]] += r["links"]
+    assert {i: n for i, n in zip(ids, links)} == {i: v[1] for (i, _), v in brute_classes(rows, 4, t).items() if i in set(ids)}
 
 
 def test_ngram_odd_rows(spark):
     df = odd_rows(spark)
-    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in ngram_join.jaccard_pairs(df).collect()}
-    want = brute_pairs([(r.doc_id, r.text) for r in df.collect()], ngram_join.N, ngram_join.THRESHOLD)
-    assert got == want and (1, 10) in got and (7, 9) in got and (11, 12) in got
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.classes(df).collect())
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    want = brute_classes(rows, ngram_join.N, ngram_join.THRESHOLD)
+    assert got == sorted((k[0], *v) for k, v in want.items())
+    assert (10, 1, 2) in got and (2, 1, 2) in got and (2, 2, 0) in got and (9, 7, 2) in got and (12, 11, 1) in got
     kept = ngram_join.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "5", "None", "6", "7", "11"])
-    assert ngram_join.jaccard_pairs(df.where("false")).count() == 0
+    # another text under the identifier of a dropped document stays
+    assert sorted((str(r.doc_id), r.lang) for r in kept.collect()) == sorted([("1", "a"), ("2", "c"), ("3", None), ("4", "x"), ("5", None), ("None", "n"), ("6", "x"), ("7", "x"), ("11", "x")], key=str)
+    assert ngram_join.classes(df.where("false")).count() == 0 and ngram_join.keep_one(df.where("false")).count() == 0
+    assert ngram_join.classes(df.where("doc_id = 3")).collect() == [(3, 3, 0)]
+
+
+def test_ngram_keeps_different_text_of_one_identifier(spark):
+    t, other = "one two three four five six seven", "a wholly different text under the same identifier"
+    df = spark.createDataFrame([(1, t), (2, t), (2, other), (None, t), (None, other)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in ngram_join.keep_one(df).collect()) == sorted([("1", t), ("2", other), ("None", t), ("None", other)])
 
 
 def test_lines_against_brute_force(spark):
