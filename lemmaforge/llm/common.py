@@ -51,8 +51,11 @@ def small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
 
 
 def tasks_for(df: DataFrame, target_bytes: int, least: int = 1, factor: float = 1.0) -> int:
-    """A number of partitions that follows the size the optimizer knows for df."""
+    """A number of partitions that follows the size the optimizer knows for df, or the
+    number of its rows where it knows none (rows that came from Python)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = df.count() * 4096
     return max(least, min(1 << 20, int(size * factor / target_bytes) + 1))
 
 
