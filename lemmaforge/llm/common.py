@@ -50,6 +50,17 @@ def small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tasks_for(df: DataFrame, target_bytes: int, least: int = 1, factor: float = 1.0) -> int:
     """A number of partitions that follows the size the optimizer knows for df, or the
     number of its rows where it knows none (rows that came from Python)."""

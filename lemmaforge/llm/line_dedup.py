@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, components, mix, powers, small, small_batches, stored, table, tasks_for
+from .common import MULT, components, free_names, lean, mix, powers, small, small_batches, stored, table, tasks_for
 
 SHINGLE = 7
 THRESHOLD = 0.8
@@ -53,9 +53,11 @@ def _keys(signature: np.ndarray, scheme: int) -> np.ndarray:
 def band_keys(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(line number, band key). Lines of at most MANY distinct shingles get a MinHash
     of independent functions; lines of FEW or more get one permutation cut into bins,
-    empty bins taking the value of the next full one. Lines between have both, so
-    lines similar enough always share a scheme. Lines shorter than k have no key:
-    equal ones are exact copies anyway."""
+    empty bins taking the value of the next full one. Lines between have both. A pair
+    of similarity s has counts in a ratio of s at least, so at 0.8 either both have at
+    most MANY shingles or both have 0.8 x MANY or more, and they share a scheme; both
+    schemes propose such a pair with a probability above 0.99 (measured in the tests).
+    Lines shorter than k have no key: equal ones are exact copies anyway."""
     of, h = shingles(lines, k)
     count = np.bincount(of, minlength=len(lines))
     out_line, out_key = [], []
@@ -126,13 +128,13 @@ def _bands(k: int, bits: int):
     return run
 
 
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("star", pa.bool_())])
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("group", pa.binary())])
 
 
-def _pairs(t: pa.Table) -> pa.Table:
-    """All pairs of lines that share a band key; star: with the least line of it."""
-    key = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("keys").to_pylist()] or [np.zeros(0, np.uint32)])
-    line = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("lines").to_pylist()] or [np.zeros(0, np.int64)])
+def _stars(t: pa.Table) -> pa.Table:
+    """Lines that share a band key: each with the least of them as a pair (a, b), and
+    the whole group, once, where it has three lines or more."""
+    key, line = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()] or [np.zeros(0, kind)]) for c, kind in (("keys", np.uint32), ("lines", np.int64)))
     order = np.lexsort((line, key))
     key, line = key[order], line[order]
     new = np.ones(len(key), bool)
@@ -140,19 +142,43 @@ def _pairs(t: pa.Table) -> pa.Table:
     key, line = key[new], line[new]
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     n = np.diff(np.append(starts, len(key)))
-    a, b, star = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    for k in np.unique(n[n > 1]):
-        x, y = np.triu_indices(k, 1)
-        group = line[starts[n == k][:, None] + np.arange(k)]
-        a.append(group[:, x].ravel())
-        b.append(group[:, y].ravel())
-        star.append(np.tile(x == 0, len(group)))
-    a, b, star = np.concatenate(a), np.concatenate(b), np.concatenate(star)
-    order = np.lexsort((~star, b, a))
-    a, b, star = a[order], b[order], star[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return pa.table([a[new], b[new], star[new]], schema=_PAIR)
+    star = np.repeat(line[starts], n)
+    pairs = np.stack([star, line], 1)[star != line]
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]).any(1)
+    pairs = pairs[new]
+    groups = list({line[s : s + m].tobytes() for s, m in zip(starts[n > 2], n[n > 2])})
+    none = [None] * len(groups)
+    return pa.table([pa.array([*pairs[:, 0].tolist(), *none], pa.int64()), pa.array([*pairs[:, 1].tolist(), *none], pa.int64()), pa.array([None] * len(pairs) + groups, pa.binary())], schema=_MET)
+
+
+def _members(batches):
+    for batch in batches:
+        groups = [np.frombuffer(g, np.int64) for g in batch.column("group").to_pylist()]
+        own = np.repeat(batch.column("no").to_numpy(), [len(g) for g in groups])
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([*groups, np.zeros(0, np.int64)]))], names=["no", "lh"])
+
+
+def _across(batches):
+    """Pairs of lines of one group whose components differ, as far as known. Pairs
+    within a component need no look: they would not change it."""
+    most = 1 << 18
+    a, b = [], []
+    for batch in batches:
+        for lines, roots in zip(*(batch.column(c).to_pylist() for c in ("lines", "roots"))):
+            line, root = np.array(lines, np.int64), np.array(roots, np.int64)
+            order = np.argsort(root, kind="stable")
+            line, root = line[order], root[order]
+            ends = np.searchsorted(root, root, "right")
+            for i in np.flatnonzero(ends < len(line)):
+                other = line[ends[i] :]
+                a.append(np.minimum(line[i], other))
+                b.append(np.maximum(line[i], other))
+                if sum(map(len, a[-64:])) > most or len(a) > 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    a, b = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, np.zeros(0, np.int64)])), pa.array(np.concatenate([*b, np.zeros(0, np.int64)]))], names=["a", "b"])
 
 
 def line_jaccard(x: str, y: str, k: int = SHINGLE) -> float:
@@ -208,69 +234,88 @@ def _verify(k: int, threshold: float):
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    at = df.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
+    at = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
     return at.withColumn("lh", F.xxhash64("line"))
 
 
-def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(id_col, line_no, rep_id, rep_line, kept) for every line of every text: the
-    first line (by identifier and line number) of its component, and whether it is
-    that line. Lines are linked if they are equal or the Jaccard similarity of their
-    character shingles is at least threshold.
-
-    Signatures propose pairs by banding (a similarity of 0.8 is found with a
-    probability above 0.99); every proposed pair is verified on the lines' full
-    texts. Pairs with the least line of a band come first; the others are verified
-    only if their lines are not linked by then, which leaves the components as they
-    are. Components come from distributed union-find.
-
-    Blank lines, and those of null or empty texts, are kept as they are. A null
-    identifier is taken as one before all others. Rows repeated as a whole share one
-    decision, so their lines stay together. Lines shorter than a shingle are linked
-    if equal. An empty table gives no rows; lines of any length are read whole; other
-    columns are not read. Lines are told apart by a 64-bit hash.
-    """
+def _decided(df: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
+    """(id, th, line_no, rep_id, rep_line, kept), th being the hash of the text."""
     spark = df.sparkSession
     small_batches(spark)
     lines = _lines(df, id_col, text_col)
     blank = F.expr(r"line NOT RLIKE '\\S'")
-    where = stored(lines.select("id", "line_no", "lh", blank.alias("blank")), "line-places")
+    where = stored(lines.select("id", "th", "line_no", "lh", blank.alias("blank")), "line-places")
     bits = min(24, max(3, math.ceil(math.log2(tasks_for(df, 16 << 20, 8, 2.0)))))
     worth = lines.where(F.length("line") >= shingle).where(~blank).select("lh", "line")
-    banded = worth.mapInArrow(_bands(shingle, bits), "bucket int, keys binary, lines binary")
-    met = banded.groupBy("bucket").applyInArrow(_pairs, "a long, b long, star boolean")
-    pairs = stored(met.groupBy("a", "b").agg(F.max("star").alias("star")), "line-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct()
-    texts = stored(worth.join(small(stored(needed, "line-needed"), 16), "lh", "left_semi").groupBy("lh").agg(F.min("line").alias("line")), "line-texts")
+    banded = worth.mapInArrow(lean(_bands(shingle, bits)), "bucket int, keys binary, lines binary")
+    met = stored(banded.groupBy("bucket").applyInArrow(lean(_stars), "a long, b long, group binary"), "line-met")
+    stars = stored(met.where("a IS NOT NULL").select("a", "b").distinct(), "line-stars")
+    needed = stored(stars.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), "line-needed")
+    texts = stored(worth.join(small(needed, 16), "lh", "left_semi").groupBy("lh").agg(F.min("line").alias("line")), "line-texts")
 
     def verified(some: DataFrame) -> DataFrame:
         x, y = texts.select(F.col("lh").alias("a"), F.col("line").alias("x")), texts.select(F.col("lh").alias("b"), F.col("line").alias("y"))
         full = some.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y")
-        return full.sortWithinPartitions("a", "b").mapInArrow(_verify(shingle, threshold), "a long, b long")
+        return full.sortWithinPartitions("a", "b").mapInArrow(lean(_verify(shingle, threshold)), "a long, b long")
 
-    first = stored(verified(pairs.where("star")), "line-edges")
+    first = stored(verified(stars), "line-edges")
     roots = stored(components(first, "line-cc"), "line-roots")
-    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    open_pairs = pairs.where("NOT star").join(ra, "a", "left").join(rb, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)")
+    # groups that the stars did not join as a whole
+    groups = met.where("group IS NOT NULL").select("group").distinct().withColumn("no", F.monotonically_increasing_id())
+    members = stored(groups.mapInArrow(_members, "no long, lh long"), "line-members")
+    rooted = members.join(small(roots.withColumnRenamed("node", "lh"), 16), "lh", "left").select("no", "lh", F.coalesce("root", "lh").alias("root"))
+    parted = rooted.groupBy("no").agg(F.collect_list("lh").alias("lines"), F.collect_list("root").alias("roots"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    open_pairs = parted.select("lines", "roots").mapInArrow(lean(_across), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     more = stored(verified(open_pairs), "line-edges")
     if not more.isEmpty():
         roots = stored(components(first.union(more), "line-cc"), "line-roots")
-    own = where.where("NOT blank").join(roots.select(F.col("node").alias("lh"), "root"), "lh", "left").select("id", "line_no", F.coalesce("root", "lh").alias("root"))
-    rep = F.expr("min(struct(id, line_no)) OVER (PARTITION BY root)")
-    own = own.withColumn("rep", rep).select("id", "line_no", F.col("rep.id").alias("rep_id"), F.col("rep.line_no").alias("rep_line"))
-    alone = where.where("blank").select("id", "line_no", F.col("id").alias("rep_id"), F.col("line_no").alias("rep_line"))
-    out = own.union(alone).withColumn("kept", F.expr("id <=> rep_id AND line_no = rep_line"))
-    return out.withColumnRenamed("id", id_col)
+    # the first place of each distinct line, then of each component of several places
+    place = F.struct("id", "line_no", "th")
+    once = where.where("NOT blank").groupBy("lh").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    once = stored(once.join(small(roots.withColumnRenamed("node", "lh"), 16), "lh", "left").withColumn("root", F.coalesce("root", "lh")), "line-once")
+    reps = stored(once.groupBy("root").agg(F.min("first").alias("rep"), F.sum("n").alias("n")).where("n > 1").select("root", "rep"), "line-reps")
+    reps = stored(once.select("lh", "root").join(small(reps, 48), "root").select("lh", "rep"), "line-reps")
+    own = where.join(small(reps, 48), "lh", "left").withColumn("rep", F.when(F.col("blank"), None).otherwise(F.col("rep")))
+    rep = F.coalesce("rep", place)
+    kept = F.expr("id <=> rep.id AND line_no = rep.line_no AND th = rep.th")
+    return own.withColumn("rep", rep).select("id", "th", "line_no", F.col("rep.id").alias("rep_id"), F.col("rep.line_no").alias("rep_line"), kept.alias("kept"))
+
+
+def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """(id_col, line_no, rep_id, rep_line, kept) for every line of every text: the
+    first line (by identifier, line number and hash of the text) of its component, and
+    whether it is that line. Lines are linked if they are equal or the Jaccard
+    similarity of their character shingles is at least threshold.
+
+    Signatures propose pairs by banding (a similarity of 0.8 is found with a
+    probability above 0.99). In each band a star of pairs with the least line comes
+    first. Its pairs are verified by exact Jaccard similarity: every shingle of the one
+    line is looked up in the other by its 44-bit hash, and where the result is within
+    0.01 of the threshold the sets of strings decide. Components come from distributed
+    union-find. Groups that their stars have joined are done; in the others the pairs
+    across components are verified too, so that no proposed link is lost.
+
+    Blank lines, and those of null or empty texts, are kept as they are. A null
+    identifier is taken as one before all others. Rows repeated as a whole share one
+    decision, so their lines stay together; different texts of one identifier are told
+    apart. Lines shorter than a shingle are linked if equal. An empty table gives no
+    rows; lines of any length are read whole; other columns are not read. Lines are
+    told apart by a 64-bit hash. Identifiers are whole numbers, or strings of such.
+    """
+    out = _decided(df, id_col, text_col, shingle, threshold)
+    return out.select(F.col("id").alias(id_col), "line_no", "rep_id", "rep_line", "kept")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """df with the dropped lines cut out of its texts, all rows and columns kept. A
-    text whose lines all go becomes empty; a null text stays null."""
-    gone = line_groups(df, id_col, text_col, shingle, threshold).where("NOT kept")
-    gone = gone.groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
-    both = df.join(gone, df[id_col].cast("long").eqNullSafe(F.col("_gone_id")), "left")
-    left = F.array_join(F.transform(F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_gone", s["i"])), lambda s: s["x"]), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)
+    text whose lines all go becomes empty; a null text stays null. A line goes from the
+    text it was judged in, not from other texts of the identifier."""
+    x_id, x_h, x_gone = free_names(df, "_gone_id", "_gone_h", "_gone")
+    gone = _decided(df, id_col, text_col, shingle, threshold).where("NOT kept")
+    gone = gone.groupBy(F.col("id").alias(x_id), F.col("th").alias(x_h)).agg(F.collect_set("line_no").alias(x_gone))
+    both = df.join(gone, df[id_col].cast("long").eqNullSafe(gone[x_id]) & (F.xxhash64(df[text_col]) == gone[x_h]), "left")
+    left = F.array_join(F.transform(F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(x_gone, s["i"])), lambda s: s["x"]), "\n")
+    text = F.when(F.col(x_gone).isNull(), F.col(text_col)).otherwise(left)
     return both.withColumn(text_col, text).select(*df.columns)
 
 

@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, chunks, components, lean, mix, small, small_batches, stored, table, tasks_for, texts_to_words
+from .common import MULT, chunks, components, free_names, lean, mix, small, small_batches, stored, table, tasks_for, texts_to_words
 
 N = 4
 THRESHOLD = 0.4
@@ -532,9 +532,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     too, as do rows with a null identifier or without a word. Clashing column names do
     not matter. An empty table stays empty."""
     away = documents(df, id_col, text_col, n, threshold).where("id <> class_id OR h <> class_h")
-    away = stored(away.select(F.col("id").alias("_near_id"), F.col("h").alias("_near_h")), "near-away")
+    x_id, x_h = free_names(df, "_near_id", "_near_h")
+    away = stored(away.select(F.col("id").alias(x_id), F.col("h").alias(x_h)), "near-away")
     own = df[id_col].cast("long")
-    return df.join(small(away, 32), (own == F.col("_near_id")) & (F.xxhash64(own, df[text_col]) == F.col("_near_h")), "left_anti")
+    return df.join(small(away, 32), (own == F.col(x_id)) & (F.xxhash64(own, df[text_col]) == F.col(x_h)), "left_anti")
 
 
 def op5_ngram_jaccard(spark, sf_dir):

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import bisect
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small, small_batches, stored, table
 
 WINDOW = 2048
 OPEN = 64
 MERGE_ROWS = 200_000
 
-_PIECES = "part long, seq long, full boolean, id long, piece int, start long, len int, at int"
-_SCHEMA = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("full", pa.bool_()), ("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("len", pa.int32()), ("at", pa.int32())])
+_PIECES = "part long, seq long, full boolean, id long, piece int, start long, len int, at int, text string"
+_SCHEMA = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("full", pa.bool_()), ("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("len", pa.int32()), ("at", pa.int32()), ("text", pa.string())])
+_WORD = re.compile(r"\S+", re.ASCII)
 
 
 class OpenWindows:
@@ -61,19 +63,21 @@ def _pack(window: int, most: int):
         part, state, out = TaskContext.get().partitionId(), OpenWindows(window, most), []
 
         def emit(number, items, full):
-            out.extend((part, number, full, *item, at) for item, at in items)
+            out.extend((part, number, full, *item[:4], at, item[4]) for item, at in items)
 
+        held = 0
         for batch in batches:
-            for i, n in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist()):
+            for i, n, text in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "text"))):
                 piece = start = 0
-                while n - start > 0:
+                held += len(text or "")
+                for body in _bodies(text, n, window):
                     size = min(window, n - start)
-                    for number, items in state.place((i, piece, start, size), size):
+                    for number, items in state.place((i, piece, start, size, body), size):
                         emit(number, items, True)
                     start, piece = start + size, piece + 1
-                if len(out) > 50000:
+                if len(out) > 50000 or held > 8 << 20:
                     yield _rows(out)
-                    out = []
+                    out, held = [], 0
         for number, items in state.rest():
             emit(number, items, False)
         yield _rows(out)
@@ -81,6 +85,16 @@ def _pack(window: int, most: int):
     return run
 
 
+def _bodies(text: str | None, n: int, window: int):
+    """The texts of the pieces of a document of n tokens (None where no text is asked
+    for): from the first word of a piece to that of the next one."""
+    pieces = -(-n // window)
+    if text is None or pieces == 1:
+        return [text] * pieces
+    at = [m.start() for k, m in enumerate(_WORD.finditer(text)) if k % window == 0]
+    return [text[a:b] for a, b in zip([0, *at[1:]], [*at[1:], len(text)])]
+
+
 def _rows(out):
     columns = list(zip(*out)) or [[]] * len(_SCHEMA)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
@@ -111,7 +125,7 @@ def token_count(col) -> F.Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", length=None, window: int = WINDOW, most_open: int = OPEN) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", length=None, window: int = WINDOW, most_open: int = OPEN, text_col: str | None = None) -> DataFrame:
     """Pack documents into windows of `window` tokens.
 
     Each partition takes its documents as they come and holds at most most_open
@@ -123,16 +137,28 @@ def pack(df: DataFrame, id_col: str = "doc_id", length=None, window: int = WINDO
 
     length: a Column with the tokens of a row; by default the words of `text`.
     Returns (window_id, id_col, piece, start, len, at): tokens start .. start + len
-    of the document stand at offset `at` of the window. Rows without a token (null,
+    of the document stand at offset `at` of the window. With text_col, whose words are
+    then the tokens, a column text has each piece as it stands in the document.
+
+    Which windows come about follows the order of rows in a partition, as online
+    packing does. Leftover windows are merged in tasks of about MERGE_ROWS each. Rows without a token (null,
     empty or blank texts, null or negative lengths) occupy nothing and give no row;
     a null identifier stays null; repeated rows are packed as often as they occur.
-    An empty table gives no rows. Other columns are not read.
+    An empty table gives no rows. Other columns are not read. Identifiers are whole
+    numbers, or strings of such.
     """
-    length = token_count(F.col("text")) if length is None else length
-    rows = df.select(F.col(id_col).cast("long").alias("id"), length.cast("long").alias("n")).where("n > 0")
+    if length is None:
+        length = token_count(F.col(text_col or "text"))
+    elif text_col:
+        raise ValueError("a length of its own goes without text_col")
+    text = F.col(text_col) if text_col else F.lit(None).cast("string")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), length.cast("long").alias("n"), text.alias("text")).where("n > 0")
+    wanted = ["id", "piece", "start", "len", "at", *(["text"] if text_col else [])]
+    if text_col:
+        small_batches(df.sparkSession)
     # stored once: windows of closed and of leftover rows must come from one run
     pieces = stored(rows.mapInArrow(_pack(window, most_open), _PIECES), "pack")
-    done = pieces.where("full").select(F.concat_ws("-", F.lit("w"), "part", "seq").alias("window_id"), "id", "piece", "start", "len", "at")
+    done = pieces.where("full").select(F.concat_ws("-", F.lit("w"), "part", "seq").alias("window_id"), *wanted)
     left = pieces.where("NOT full")
     bins = left.groupBy("part", "seq").agg(F.sum("len").cast("long").alias("used"))
     groups = left.select("part", "seq").distinct().count() // MERGE_ROWS + 1
@@ -140,7 +166,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", length=None, window: int = WINDO
         bins.repartition(groups, "part", "seq").sortWithinPartitions(F.desc("used"), "part", "seq").mapInArrow(_merge(window, most_open), "part long, seq long, to_part long, to_seq long, shift long"),
         "pack-merge",
     )
-    rest = left.join(moved, ["part", "seq"]).select(F.concat_ws("-", F.lit("m"), "to_part", "to_seq").alias("window_id"), "id", "piece", "start", "len", (F.col("at") + F.col("shift")).cast("int").alias("at"))
+    rest = left.join(small(moved, 64), ["part", "seq"]).withColumn("at", (F.col("at") + F.col("shift")).cast("int"))
+    rest = rest.select(F.concat_ws("-", F.lit("m"), "to_part", "to_seq").alias("window_id"), *wanted)
     return done.union(rest).withColumnRenamed("id", id_col)
 
 

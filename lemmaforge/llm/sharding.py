@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored, table
+from .common import free_names, small, stored, table
 
 BITS = 60
-STEP = 20
+STEP = 12
+SPARE = 3
 MAX_BYTES = 32 << 20
 
 
@@ -19,15 +22,18 @@ def _prefix(hash_col: str, bits) -> F.Column:
 def _rounds(keyed: DataFrame, max_bytes: int) -> list[tuple[DataFrame, int]]:
     """[(cell, depth, shard_bytes, oversized) of each round, bits of its cells].
 
-    A cell is the first 20 (40, 60) bits of a hash. All rows are counted once into
-    cells of 20 bits, and sums of cells give the size of every bucket above them; a
-    bucket is a leaf where it fits and the bucket above it does not. Only cells that
-    are still too large are counted again, 20 bits deeper, so later rounds follow
-    the hot keys alone. A cell of 60 bits holds one key and stays whole.
+    A cell is a number of leading bits of a hash. All rows are counted once into cells
+    of SPARE bits more than evenly filled shards need, and sums of cells give the size
+    of every bucket above them; a bucket is a leaf where it fits and the bucket above
+    it does not. Only cells that are still too large are counted again, STEP bits
+    deeper, so later rounds follow the hot keys alone, and a round has about 8 cells
+    for each shard, however large the table. A cell of 60 bits holds one key and stays
+    whole.
     """
+    total = keyed.agg(F.sum("size")).first()[0] or 0
     found, pending, base = [], None, 0
     while True:
-        bits = base + STEP
+        bits = min(BITS, base + STEP if base else math.ceil(math.log2(max(1, total / max_bytes))) + SPARE)
         part = keyed
         if pending is not None:
             part = keyed.withColumn("above", _prefix("hash", base)).join(small(pending, 16), "above", "left_semi")
@@ -83,11 +89,16 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return first.withColumnRenamed("id", id_col)
 
 
-def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES) -> None:
-    """Write df as one folder of Parquet files for each shard (column _shard)."""
-    shards = assign_shards(df, id_col, text_col, max_bytes).select(F.col(id_col).alias("_shard_id"), F.concat(F.lit("s"), "shard").alias("_shard")).distinct()
-    whole = df.join(shards, df[id_col].eqNullSafe(shards["_shard_id"])).drop("_shard_id")
-    whole.repartition("_shard").write.partitionBy("_shard").parquet(path)
+def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES) -> str:
+    """Write df as one folder of Parquet files for each shard of assign_shards(), and
+    return the name of the column that has the shard ("s" and its prefix): _shard, with
+    underscores added where df has such a column. All rows are written, those with null
+    identifiers or texts and repeated ones too; an empty table writes no shard."""
+    own, name = free_names(df, "_shard_id", "_shard")
+    shards = assign_shards(df, id_col, text_col, max_bytes).select(F.col(id_col).alias(own), F.concat(F.lit("s"), "shard").alias(name)).distinct()
+    whole = df.join(shards, df[id_col].eqNullSafe(shards[own])).drop(own)
+    whole.repartition(name).write.partitionBy(name).parquet(path)
+    return name
 
 
 def op1_sharding(spark, sf_dir):

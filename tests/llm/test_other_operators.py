@@ -36,8 +36,11 @@ def test_shards_against_simulation(spark, tmp_path):
     assert all(want[bits(r.doc_id)] == r.shard and len(r.shard) == r.shard_depth for r in got)
     assert [r.oversized for r in got if r.doc_id == 700] == [True] and sum(r.oversized for r in got) == 1
     assert sharding.assign_shards(df.where("false")).count() == 0
-    sharding.write_shards(df.where("doc_id IS NOT NULL"), str(tmp_path / "s"), max_bytes=limit)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == len(rows) - 2
+    clash = df.withColumn("_shard", F.lit("own"))
+    name = sharding.write_shards(clash, str(tmp_path / "s"), max_bytes=limit)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == len(rows) and set(back.columns) == {*clash.columns, name} and back.where("_shard = 'own'").count() == len(rows)
+    assert {(r.doc_id, r[name]) for r in back.collect()} == {(r.doc_id, "s" + r.shard) for r in got}
 
 
 def test_search_recall(spark):
@@ -165,6 +168,11 @@ def test_packing_odd_rows(spark):
     assert n == {1: 6, 2: 6 + 6 + 7, None: 6, 7: 60_000, 8: 60_000, 9: 60_001, 10: 6, 11: 1, 12: 1}
     assert packing.pack(df.where("false")).count() == 0
     assert packing.pack(df, length=F.lit(None)).count() == 0
+    texts = {}
+    for r in sorted(packing.pack(df.where("doc_id > 6"), text_col="text", window=1000).collect(), key=lambda r: r.piece):
+        texts[r.doc_id] = texts.get(r.doc_id, "") + r.text
+        assert len(r.text.split()) == r.len
+    assert texts == {r.doc_id: r.text for r in df.where("doc_id > 6").collect()}
 
 
 def test_chats(spark):
@@ -234,6 +242,68 @@ def test_classifier_gradient():
     assert np.mean((tails > 0.5).sum(1) == grades) > 0.95 and (tails[:, 0] >= tails[:, 1]).all()
 
 
+def test_classifier_numeric_gradient():
+    """One step of the fit on one mini-batch goes along the numeric gradient of the
+    likelihood, for weights and thresholds."""
+    rng = np.random.default_rng(5)
+    bits, levels, n = 4, 3, 60
+    codes = [np.sort(rng.choice(1 << bits, 5, replace=False)) for _ in range(n)]
+    values = [rng.random(5).astype(np.float32) for _ in range(n)]
+    y = rng.integers(0, levels, n)
+    x = np.zeros((n, 1 << bits))
+    for i in range(n):
+        x[i, codes[i]] = values[i]
+
+    def loss(w, raw):
+        theta = np.concatenate(([-np.inf], raw[0] + np.concatenate(([0.0], np.cumsum(np.exp(raw[1:])))), [np.inf]))
+        score = x @ w
+        p = 1 / (1 + np.exp(score - theta[y + 1])) - 1 / (1 + np.exp(score - theta[y]))
+        return -np.log(p).mean()
+
+    share = np.array([np.mean(y > k) for k in range(levels - 1)])
+    start = -np.log(share / (1 - share))
+    raw = np.concatenate([start[:1], np.log(np.diff(start))])
+    eps = 1e-5
+    gw = np.array([(loss(np.eye(1 << bits)[k] * eps, raw) - loss(-np.eye(1 << bits)[k] * eps, raw)) / (2 * eps) for k in range(1 << bits)])
+    gr = np.array([(loss(np.zeros(1 << bits), raw + np.eye(2)[k] * eps) - loss(np.zeros(1 << bits), raw - np.eye(2)[k] * eps)) / (2 * eps) for k in range(2)])
+    model = quality.fit_ordinal(codes, values, y, levels, bits, epochs=1, l2=0.0)
+    # AdaGrad's first step is rate x gradient / sqrt(gradient squared + 1e-8)
+    assert np.allclose(model.weights[: 1 << bits], -0.3 * gw / np.sqrt(gw * gw + 1e-8), atol=1e-4)
+    new = raw - 0.1 * gr / np.sqrt(gr * gr + 1e-8)
+    assert np.allclose(model.thresholds, new[0] + np.array([0, np.exp(new[1])]), atol=1e-3)
+
+
+def test_quality_query_recomputed(spark):
+    """op6_quality against figures computed word by word from the fitted model."""
+    from lemmaforge.llm.common import mix, word_hashes
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = quality.train(docs, quality.ratings_of(spark.read.parquet(f"{DATA}/labels.parquet")))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in queries()["op6_quality"](spark, DATA).collect()}
+    assert got.keys() == texts.keys()
+    mask = (1 << model.bits) - 1
+    cls = lambda b: 1 if b in b"abcdefghijklmnopqrstuvwxyz" or b >= 128 else 2 if b in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 3 if b in b"0123456789" else b + 16
+    one = lambda v: int(mix(np.array([v % (1 << 64)], np.uint64))[0])
+    for i in sorted(texts)[:60]:
+        counts, last = {}, None
+        for word in texts[i].split():
+            raw = word.encode()
+            plain = bytes(b for b in raw.lower() if b in b"abcdefghijklmnopqrstuvwxyz0123456789" or b >= 128)
+            kinds = [cls(b) for b in raw]
+            total = sum(one(k) for j, k in enumerate(kinds) if j == 0 or k != kinds[j - 1])
+            for code in (int(word_hashes(plain + b" ")[0][0]) & mask, one(total + 77 - 0) & mask, *([one(5) & mask] if plain == last else [])):
+                counts[code] = counts.get(code, 0) + 1
+            last = plain
+        value = {c: np.log1p(n) for c, n in counts.items()}
+        norm = np.sqrt(sum(v * v for v in value.values())) or 1.0
+        score = sum(model.weights[c] * v / norm for c, v in value.items())
+        score += model.weights[1 << model.bits] * quality.MARK_SCALE * np.log1p(sum(float(model.markers[c]) for c in value))
+        tails = 1 / (1 + np.exp(model.thresholds - score))
+        assert abs(got[i].expected_grade - tails.sum()) < 1e-3 and abs(got[i].tail - tails[-1]) < 1e-3
+        assert got[i].selected == (got[i].tail >= quality.MIN_TAIL or not texts[i].strip())
+
+
 def test_classifier_odd_rows(spark):
     df = odd_rows(spark)
     ratings = spark.createDataFrame([(1, 2), (7, 0), (None, 1), (9, None), (10, 9), (1, 1)], "id long, grade int")
@@ -325,7 +395,7 @@ def test_bootstrapping_finds_what_no_seed_can(spark):
                 graph.setdefault(p, {})[value] = kind
     score = {v: 1.0 for g in graph.values() for v, k in g.items() if k}
     seeds = set(score)
-    for _ in range(pii.ROUNDS):
+    while True:
         conf = {}
         for p, g in graph.items():
             hits = [score[v] for v in g if v in score]
@@ -336,7 +406,7 @@ def test_bootstrapping_finds_what_no_seed_can(spark):
             miss = np.prod([max(1 - conf[p], 1e-9) for p, g in graph.items() if p in conf and v in g] or [1.0])
             if 1 - miss >= pii.MIN_SCORE:
                 new[v] = 1 - miss
-        if new.keys() == score.keys():
+        if new == score:
             break
         score = new
     assert set(got) == set(score) - seeds and len(got) == len(odd)
@@ -363,6 +433,19 @@ def test_pii_odd_rows(spark):
     assert r.text.endswith("x [EMAIL]") and r.kinds_found == ["EMAIL"] and r.key == "k"
     assert out.where("doc_id = 3").first().text is None
     assert pii.redact_corpus(df.where("false")).count() == 0
+    clash = spark.createDataFrame([(1, "password=b7db7aa4a5", 1, 2, "k"), (2, "log in with b7db7aa4a5", 3, 4, "k")], "_pii_id long, text string, _pii_n int, _pii_h int, kinds string")
+    out = pii.redact_corpus(clash, kinds_col="kinds")
+    assert sorted(out.columns) == sorted(clash.columns) and all(r.kinds == ["SECRET"] and "b7d" not in r.text for r in out.collect())
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000 + " 1", "7" * 1_000_000, "日本語テキスト" * 140_000 + " 1", "a1=" * 330_000, "a@" * 500_000, "1." * 500_000, "a@b." + "-" * 1_000_000])
+def test_pii_time_is_linear_in_long_words(text):
+    import time
+
+    began = time.time()
+    pii.occurrences(text)
+    pii.redact(text)
+    assert time.time() - began < 15  # quadratic time would take hours
 
 
 def test_pipeline(spark):
@@ -377,9 +460,51 @@ def test_pipeline(spark):
     assert docs.groupBy("text").count().where("count > 1").count() == 0
     assert docs.where(F.col("text").rlike("@mail")).count() == 0
     assert docs.where(F.length("text") != F.col("n_chars")).count() == 0
-    out = corpus_pipeline.run(spark, DATA)
+    out = corpus_pipeline.run(spark, DATA).collect()
     lengths = {r.doc_id: len((r.text or "").split()) for r in docs.collect()}
-    check_packing(out.collect(), lengths, packing.WINDOW)
+    check_packing(out, lengths, packing.WINDOW)
+    whole = {}
+    for r in sorted(out, key=lambda r: r.piece):
+        whole[r.doc_id] = whole.get(r.doc_id, "") + r.text
+    assert whole == {r.doc_id: r.text for r in docs.collect() if (r.text or "").split()}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All stages on small tables with odd rows, against plain Python for those that
+    follow the classifier, whose decisions have tests of their own."""
+    import corpus_pipeline
+
+    near = " ".join(f"n{i}" for i in range(60))
+    odd = "doc_id long, text string, lang string, source string, n_chars long, id long, h int, _near_id int, _pii_h string"
+    rows = [
+        (1, near, "a"), (2, near, "b"), (2, near, "b"), (3, near + " tail", "a"), (2, "another text under the identifier two, with enough words", "c"),
+        (4, None, None), (5, "", "x"), (6, "", "x"), (None, near, "n"), (None, None, "n"), (7, " \n\t ", "x"), (8, LONG, "x"), (9, "call me at +1 (663) 555-6869 today please", "x"), (10, "one", "x"), (11, "one", "x"),
+    ]
+    df = spark.createDataFrame([(*r, "s", len(r[1] or ""), 5, 6, 7, "k") for r in rows], odd)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, seen = df, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), "test")
+        seen[name] = sorted((str(r.doc_id), r.text or "") for r in docs.collect())
+        if name != "packing":
+            assert docs.columns == df.columns
+    want = sorted((str(i), t or "") for i, t, _ in rows)
+    assert seen["quality"] == want  # no labels: nothing goes
+    for x in ((2, near), (2, near), (6, ""), (11, "one")):
+        want.remove((str(x[0]), x[1]))
+    assert seen["exact dedup"] == sorted(want)
+    want.remove(("3", near + " tail"))
+    assert seen["n-gram Jaccard"] == sorted(want)
+    want = sorted((i, t.replace("+1 (663) 555-6869", "[PHONE]")) for i, t in want)
+    assert seen["pii"] == want
+    whole = {}
+    for r in sorted(docs.collect(), key=lambda r: r.piece):
+        whole[str(r.doc_id)] = whole.get(str(r.doc_id), "") + r.text if r.piece else r.text
+    assert {k for k, t in want if t.split()} == set(whole) and whole["8"] == LONG and "[PHONE]" in whole["9"]
+    docs = df.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.count() == 0
 
 
 @pytest.mark.parametrize("name", ["op3_packing", "op6_quality", "op7_bpe", "op9_pii"])
