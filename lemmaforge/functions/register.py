@@ -27,7 +27,7 @@ def edit(word: str, script: str) -> str:
     parts = script.split(SEP)
     if parts[0] == "R" and len(parts) > 1:
         return script[2:]
-    if len(parts) != 4 or not (parts[0].strip().isdigit() and parts[2].strip().isdigit()):
+    if len(parts) != 4 or not all(p.strip().isascii() and p.strip().isdigit() for p in (parts[0], parts[2])):
         return word
     pre, suf = int(parts[0]), int(parts[2])
     if pre + suf > len(word):

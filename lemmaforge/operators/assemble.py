@@ -40,11 +40,16 @@ def doc_records(pred: DataFrame, docs: DataFrame, key: str = "doc_id", text: str
     tokens = F.transform("ts", lambda t: F.struct(*[t[c].alias(c) for c in ("token", "start", "end", "lemma", "pos", "source", "score", "sent_id")]))
     shown = F.filter("ts", lambda t: t["lemma"] != "")
     es = F.transform(shown, lambda t, i: F.struct(t["lemma"].alias("token"), t["start"].alias("start_offset"), t["end"].alias("end_offset"), i.alias("position"), F.lit("lemma").alias("type")))
-    gaps = F.filter("ts", lambda t: t["gap"])
-    firsts = F.array_distinct(F.transform(gaps, lambda t: t["token"]))
-
-    def unknown(w):
-        own = F.filter(gaps, lambda t: t["token"] == w)
-        return F.struct(w.alias("token"), own[0]["lemma"].alias("lemma"), own[0]["pos"].alias("pos"), F.size(own).cast("long").alias("count"))
-
-    return full.select(key, text, tokens.alias("tokens"), F.array_join(F.transform(shown, lambda t: t["lemma"]), " ").alias("analyzed_text"), es.alias("es_tokens"), F.transform(firsts, unknown).alias("unknown"))
+    # gaps by token and place: each token is a run, whose first row and length count
+    gap = F.transform(F.filter("ts", lambda t: t["gap"]), lambda t: F.struct(*[t[c].alias(c) for c in ("token", "start", "lemma", "pos")]))
+    full = full.withColumn("gaps", F.array_sort(gap))
+    begins = F.filter(F.transform("gaps", lambda g, i: i), lambda i: (i == 0) | ~F.get("gaps", i)["token"].eqNullSafe(F.get("gaps", i - 1)["token"]))
+    full = full.withColumn("runs", begins)
+
+    def unknown(i, k):
+        first = F.get("gaps", i)
+        n = F.coalesce(F.get("runs", k + 1), F.size("gaps")) - i
+        return F.struct(first["start"].alias("start"), first["token"].alias("token"), first["lemma"].alias("lemma"), first["pos"].alias("pos"), n.cast("long").alias("count"))
+
+    gathered = F.transform(F.array_sort(F.transform("runs", unknown)), lambda u: F.struct(*[u[c].alias(c) for c in ("token", "lemma", "pos", "count")]))
+    return full.select(key, text, tokens.alias("tokens"), F.array_join(F.transform(shown, lambda t: t["lemma"]), " ").alias("analyzed_text"), es.alias("es_tokens"), gathered.alias("unknown"))

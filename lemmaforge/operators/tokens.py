@@ -86,10 +86,10 @@ def sentences_native(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*rest, "_s.sent_id", "_s.start", "_s.end", F.col("_s.text").alias("sentence"))
 
 
-def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", words_only: bool = True) -> DataFrame:
+def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", words_only: bool = True, with_sentence: bool = False) -> DataFrame:
     """(key, sent_id, tok_idx, token, start, end, nospace), one row for each token, in
     Arrow batches. words_only drops tokens without a letter or digit; tok_idx counts
-    what stays."""
+    what stays. with_sentence adds the text of each token's sentence."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = dict(rows.dtypes)["k"]
 
@@ -98,7 +98,7 @@ def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", words_only:
             names, texts = batch.column("k"), batch.column("t").to_pylist()
             step = 256
             for lo in range(0, len(texts), step):
-                owner, words, parts = [], [], []
+                owner, words, parts, held, sentence_of = [], [], [], [], []
                 for i in range(lo, min(lo + step, len(texts))):
                     if not texts[i]:
                         continue
@@ -109,14 +109,28 @@ def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", words_only:
                         starts, ends, sent, nospace = starts[keep], ends[keep], sent[keep], nospace[keep]
                     owner.append(np.full(len(w), i, np.int64))
                     words += w
+                    if with_sentence:
+                        sentence_of.append(sent.astype(np.int64) + len(held))
+                        held += [texts[i][a:b] for a, b in sentence_spans(texts[i])]
                     parts.append((sent, np.arange(len(w), dtype=np.int32), starts, ends, nospace))
                 if not parts:
                     continue
                 sent, idx, starts, ends, nospace = (np.concatenate(x) for x in zip(*parts))
                 columns = [names.take(pa.array(np.concatenate(owner))), pa.array(sent), pa.array(idx), pa.array(words, pa.string()), pa.array(starts), pa.array(ends), pa.array(nospace)]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", *_SCHEMA.names])
-
-    return rows.mapInArrow(run, f"k {kind}, {TOKEN_COLUMNS}").withColumnRenamed("k", key)
+                if not with_sentence:
+                    yield pa.RecordBatch.from_arrays(columns, names=["k", *_SCHEMA.names])
+                    continue
+                # a long sentence is repeated for each of its words: batches of bounded size
+                at = np.concatenate(sentence_of)
+                size = np.cumsum(np.fromiter(map(len, held), np.int64, len(held))[at]) // (16 << 20)
+                whole = pa.RecordBatch.from_arrays(columns, names=["k", *_SCHEMA.names])
+                for n in np.unique(size):
+                    s, e = np.searchsorted(size, [n, n + 1])
+                    part = whole.slice(s, e - s)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([held[j] for j in at[s:e].tolist()], pa.string())], names=["k", *_SCHEMA.names, "sentence"])
+
+    more = ", sentence string" if with_sentence else ""
+    return rows.mapInArrow(run, f"k {kind}, {TOKEN_COLUMNS}{more}").withColumnRenamed("k", key)
 
 
 def tokens_native(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

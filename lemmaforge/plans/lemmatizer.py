@@ -14,6 +14,24 @@ from ..operators.encode import Encoder, predicted_pos
 from ..sources.files import raw_docs, text_docs
 
 
+EXTRA = ("ret_lemma", "sim", "cov", "in_bank")
+
+
+def _free(taken, name: str) -> str:
+    """name with underscores added until neither it nor it with one more is taken."""
+    taken = {c.lower() for c in taken}
+    while name in taken or f"{name}_" in taken:
+        name += "_"
+    return name
+
+
+def _own(columns, name: str) -> str:
+    """The column that _free() named, beside columns of the caller."""
+    while f"{name}_" in columns:
+        name += "_"
+    return name
+
+
 @dataclass
 class Lemmatizer:
     """bank: (lemma_id, lemma, pos_tags, source, embedding). scripts: (script_id,
@@ -43,19 +61,21 @@ class Lemmatizer:
         """items (form, sentence?, pos?, ...) with form normalized, lemma, pos (the
         predicted tag, instead of the given one), score, source; other columns pass.
 
-        Also ret_lemma, sim, cov, in_bank, for the miss log and the documents. Each
-        distinct (form, sentence, given tag) is encoded and retrieved once, so repeated
-        words cost one join."""
-        rest = [c for c in items.columns if c not in ("form", "sentence", "pos")]
-        clash = {"lemma", "score", "source", "ret_lemma", "sim", "cov", "in_bank", "sup_lemma", "is_acronym", "script"}
-        rest = [c for c in rest if c not in clash]
+        Also ret_lemma, sim, cov, in_bank, for the miss log and the documents, with
+        underscores added where items has such columns. Each distinct (form, sentence,
+        given tag) is encoded and retrieved once, so repeated words cost one join."""
+        rest = [c for c in items.columns if c not in ("form", "sentence", "pos", "lemma", "score", "source")]
+        key = _free(rest, "_key")
+        passed = [F.col(f"`{c}`") for c in rest]
         form = T.normalize_text(F.col("form").cast("string"))
         given = F.col("sentence").cast("string") if "sentence" in items.columns else F.lit(None).cast("string")
         sentence = F.when(F.coalesce(given, F.lit("")) == "", F.col("form").cast("string")).otherwise(given)
         tag = F.col("pos").cast("string") if "pos" in items.columns else F.lit(None).cast("string")
-        rows = items.select(*rest, form.alias("form"), T.normalize_text(sentence).alias("sentence"), F.nullif(tag, F.lit("")).alias("pos_in"))
-        keys = ["form", "sentence", "pos_in"] + ([c for c in ("start", "end") if self.true_offsets and c in rest])
-        once = rows.select(*keys).distinct().withColumn("row", F.xxhash64(*keys))
+        places = [c for c in ("start", "end") if self.true_offsets and c in rest]
+        keys = ["form", "sentence", "pos_in", *places]
+        rows = items.select(*passed, F.struct(form.alias("form"), T.normalize_text(sentence).alias("sentence"), F.nullif(tag, F.lit("")).alias("pos_in"), *places).alias(key))
+        # 128 bits name a row, so that no two share a name at any size
+        once = rows.select(f"{key}.*").distinct().withColumn("row", F.md5(F.to_json(F.struct(*keys))))
         if self.true_offsets and "start" in keys:
             at = (F.col("start"), F.col("end"))
         else:
@@ -76,10 +96,11 @@ class Lemmatizer:
         pred = router.with_bank_flag(pred, self.bank)
         on = None
         for k in keys:
-            c = rows[k].eqNullSafe(pred[k])
+            c = F.col(f"{key}.{k}").eqNullSafe(pred[k])
             on = c if on is None else on & c
         both = rows.join(pred, on)
-        return both.select(*[rows[c] for c in rest], rows["form"], *[pred[c] for c in ("lemma", "pos", "score", "source", "ret_lemma", "sim", "cov", "in_bank")])
+        extra = [pred[c].alias(_free(rest, c)) for c in EXTRA]
+        return both.select(*[rows[f"`{c}`"] for c in rest], F.col(f"{key}.form").alias("form"), *[pred[c] for c in ("lemma", "pos", "score", "source")], *extra)
 
     def annotate(self, sentences: DataFrame, text: str = "text") -> DataFrame:
         """Every word of each sentence in context: normalized first, then tokenized."""
@@ -90,11 +111,8 @@ class Lemmatizer:
 
     def token_predictions(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """One row for each word token of the original text, with its prediction."""
-        toks = tokens.tokens(docs, text, key)
-        sents = tokens.sentences(docs.select(key, text), text).select(F.col(key).alias("_k"), F.col("sent_id").alias("_s"), "sentence", F.col("start").alias("_off"))
-        rows = toks.join(sents, (F.col(key) == F.col("_k")) & (F.col("sent_id") == F.col("_s")), "left")
-        rows = rows.select(key, "sent_id", "tok_idx", "token", "start", "end", "nospace", F.coalesce("sentence", "token").alias("sentence"), T.collapse_gender_slash(F.col("token")).alias("form"))
-        return self.lemmatize(rows)
+        toks = tokens.tokens(docs, text, key, with_sentence=True)
+        return self.lemmatize(toks.withColumn("form", T.collapse_gender_slash(F.col("token"))))
 
     def documents(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         return assemble.doc_records(self.token_predictions(docs, key, text), docs, key, text)
@@ -115,4 +133,6 @@ class Lemmatizer:
         """The miss log of predictions: a derived table, not state of the object."""
         if not self.use_router or self.scripts is None:
             pred = pred.where("false")
+        own = {c: _own(pred.columns, c) for c in EXTRA}
+        pred = pred.drop(*[c for c, x in own.items() if x != c]).withColumnsRenamed({x: c for c, x in own.items() if x != c})
         return router.miss_log(pred, self.min_sim, self.cov_thresh)

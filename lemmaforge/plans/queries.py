@@ -17,7 +17,7 @@ from ..schema import CLOSED_POS, FINALS, FUNCTION_POS, MEDIALS, PLAIN_QUOTES, QU
 from .lemmatizer import Lemmatizer
 
 LATIN, HEBREW = "abcdefghijklmnopqrstuvwxyz", "אבגדהוזחטיכלמנסעפצקרשתךםןף"
-WORD = "[a-z]{2,12}"
+WORD = r"\p{L}+"
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -131,11 +131,11 @@ def valid_lemma(spark, d):
     return u.select("form", T.is_valid_lemma(F.col("form")).alias("valid"), T.is_valid_lemma(T.strip_lemma_noise(F.col("form"))).alias("valid_clean"))
 
 
-@query(f"""WITH c AS (SELECT conv_id, turn, text, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) || CASE WHEN turn % 3 = 0 THEN 'q' ELSE '' END AS form FROM conversations)
+@query(f"""WITH c AS (SELECT conv_id, turn, text, unnest(list_distinct(regexp_extract_all(text, '\p{L}+'))) || CASE WHEN turn % 3 = 0 THEN 'q' ELSE '' END AS form FROM conversations)
 SELECT conv_id, turn, form, CAST(CASE WHEN contains(text, form) THEN strpos(text, form) - 1 ELSE 0 END AS INTEGER) AS span_start,
        CAST(CASE WHEN contains(text, form) THEN strpos(text, form) - 1 ELSE 0 END + length(form) AS INTEGER) AS span_end FROM c""")
 def form_span(spark, d):
-    words = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))))
+    words = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
     c = table(spark, d, "conversations").select("conv_id", "turn", "text", words.alias("w")).withColumn("form", F.concat("w", F.when(F.col("turn") % 3 == 0, "q").otherwise("")))
     a, b = T.span(F.col("form"), F.col("text"))
     return c.select("conv_id", "turn", "form", a.alias("span_start"), b.alias("span_end"))
@@ -209,7 +209,7 @@ def coverage(spark, d):
 S_BANK = f"""
 r AS (SELECT conv_id, turn, role, regexp_extract_all(lower(text), '{WORD}') AS ws FROM conversations),
 tb AS (SELECT {sheb('w')} AS lemma, role AS pos, 'treebank' AS source, 0 AS pr, (conv_id * 1000 + turn) * 100000 + k AS ord FROM (SELECT conv_id, turn, role, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM r)),
-q AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{{1,12}}') AS ws FROM documents),
+q AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS ws FROM documents),
 lx AS (SELECT {sheb('w')} AS lemma, '' AS pos, 'lexicon' AS source, 1000 AS pr, doc_id * 1000000 + k AS ord FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM q) WHERE length(w) > 1),
 u AS (SELECT * FROM tb UNION ALL SELECT * FROM lx),
 g AS (SELECT lemma, coalesce(list_aggregate(list_sort(list(DISTINCT pos) FILTER (pos <> '')), 'string_agg', '|'), '') AS pos_tags, arg_min(source, pr * 1000000000000000 + ord) AS source, min(pr * 1000000000000000 + ord) AS first FROM u GROUP BY lemma),
@@ -220,7 +220,7 @@ def _bank(spark, d):
     words = lambda t, p: F.posexplode(F.regexp_extract_all(F.lower(t), F.lit(p), F.lit(0)))
     tb = table(spark, d, "conversations").select("conv_id", "turn", "role", words("text", WORD).alias("k", "w"))
     tb = tb.select(heb(F.col("w")).alias("lemma"), F.col("role").alias("pos"), ((F.col("conv_id") * 1000 + F.col("turn")) * 100000 + F.col("k") + 1).alias("o"))
-    lx = table(spark, d, "documents").select("doc_id", words("text", "[a-z]{1,12}").alias("k", "w")).select(heb(F.col("w")).alias("value"), (F.col("doc_id") * 1000000 + F.col("k") + 1).alias("o"))
+    lx = table(spark, d, "documents").select("doc_id", words("text", WORD).alias("k", "w")).select(heb(F.col("w")).alias("value"), (F.col("doc_id") * 1000000 + F.col("k") + 1).alias("o"))
     return bank.build_bank(bank.treebank_rows(tb, "o"), bank.lexicon_rows(lx, order="o"))
 
 
@@ -239,15 +239,16 @@ def bank_meta(spark, d):
 def _vec_bank(spark, d):
     e = table(spark, d, "embeddings")
     tags = F.when(F.col("label") < 8, F.array(F.col("label").cast("string"))).otherwise(F.array().cast("array<string>"))
-    return e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("lemma_id"), F.col("vec_id").cast("string").alias("lemma"), tags.alias("pos_tags"), "embedding")
+    return e.select(F.col("vec_id").alias("lemma_id"), F.col("vec_id").cast("string").alias("lemma"), tags.alias("pos_tags"), "embedding")
 
 
 def _vec_queries(spark, d):
+    """Every vector is a query, back to front, so that none is its own neighbour."""
     pos = F.when(F.col("vec_id") % 5 > 0, F.col("label").cast("string"))
-    return table(spark, d, "embeddings").where("vec_id % 2 = 1").select("vec_id", F.col("embedding").alias("q"), pos.alias("pos"))
+    return table(spark, d, "embeddings").select("vec_id", F.reverse("embedding").alias("q"), pos.alias("pos"))
 
 
-S_SIM = "s AS (SELECT a.vec_id, b.vec_id AS lemma_id, a.label AS la, b.label AS lb, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0)"
+S_SIM = "s AS (SELECT a.vec_id, b.vec_id AS lemma_id, a.label AS la, b.label AS lb, list_inner_product(list_reverse(CAST(a.embedding AS DOUBLE[])), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a, embeddings b)"
 
 
 @query(f"WITH {S_SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, lemma_id) AS k FROM s) SELECT vec_id, lemma_id, round(sim, 6) AS sim FROM r WHERE k = 1")
@@ -538,9 +539,8 @@ def category_union(spark, d):
 
 @query()
 def lemmatize_conversations(spark, d):
-    c = table(spark, d, "conversations").where("text IS NOT NULL")
-    docs = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,8}"), F.lit(0))).alias("lemma")).groupBy("lemma").agg(F.count("*").alias("n")).where("n >= 20")
+    docs = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("lemma")).distinct()
     rows = words.select("lemma", F.lit("").alias("pos"), F.lit("treebank").alias("source"), F.lit(0).alias("priority"), F.crc32("lemma").alias("ord"))
     enc = HashEncoder(dim=32, scripts=4)
     b = enc.encode_lemma(bank.build_bank(rows))

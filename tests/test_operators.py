@@ -135,3 +135,31 @@ def test_command_line(spark, tmp_path, capsys):
     assert "ילד" in capsys.readouterr().out
     assert main(["--bank", str(tmp_path / "b"), "--scripts", str(tmp_path / "s.json"), "--csv", str(tmp_path / "in.csv"), str(tmp_path / "out"), "--miss-log", str(tmp_path / "m")]) == 0
     assert [r.form for r in files.batch_csv(spark, str(tmp_path / "out")).collect()] == ["ספר", "גן"]
+
+
+def test_columns_of_the_caller_pass(spark):
+    enc = HashEncoder(16, 2)
+    bank = enc.encode_lemma(spark.createDataFrame([(0, "שלום", [], "x"), (1, "ספר", [], "x")], "lemma_id long, lemma string, pos_tags array<string>, source string"))
+    lem = Lemmatizer(bank, enc, spark.createDataFrame([(0, "0¦¦0¦"), (1, "1¦¦0¦")], "script_id int, script string"), cov_thresh=2.0)
+    kind = "id int, form string, sim string, script string, cov string, in_bank int, `a.b` int, row string, lemma_id int, sup_lemma string, _key int"
+    items = spark.createDataFrame([(1, "הספר", "s", "c", "v", 5, 6, "r", 7, "u", 8), (2, "הספר", None, None, None, None, None, None, None, None, None)], kind)
+    out = lem.lemmatize(items)
+    got = {r.id: r for r in out.collect()}
+    for r in items.collect():
+        assert all(got[r.id][c] == r[c] for c in items.columns)
+    assert got[1]["sim_"] == got[2]["sim_"] > 0 and got[1].lemma == got[2].lemma
+    misses = lem.misses(out.withColumn("row_id", out.id))
+    assert all(isinstance(r.sim, float) for r in misses.collect())
+
+
+def test_unknown_of_a_long_document(spark):
+    """Gaps are gathered in runs: a document of many distinct gaps costs no square."""
+    import time
+
+    from lemmaforge.operators import assemble
+
+    rows = spark.range(60_000).selectExpr("1L AS doc_id", "CAST(id AS INT) AS start", "CAST(id AS INT) + 1 AS end", "concat('מלה', translate(CAST(id % 20000 AS STRING), '0123456789', 'אבגדהוזחטי')) AS token", "'NOUN' AS pos", "'transduced' AS source", "0.5D AS score", "0 AS sent_id", "false AS in_bank").selectExpr("*", "token AS lemma")
+    began = time.time()
+    r = assemble.doc_records(rows, spark.createDataFrame([(1, "t"), (2, None)], "doc_id long, text string")).where("doc_id = 1").first()
+    assert time.time() - began < 60
+    assert len(r.unknown) == 20_000 and {u["count"] for u in r.unknown} == {3} and r.unknown[0].token == "מלהא" and r.unknown[19_999].token == r.tokens[19_999].token
