@@ -131,7 +131,7 @@ def valid_lemma(spark, d):
     return u.select("form", T.is_valid_lemma(F.col("form")).alias("valid"), T.is_valid_lemma(T.strip_lemma_noise(F.col("form"))).alias("valid_clean"))
 
 
-@query(f"""WITH c AS (SELECT conv_id, turn, text, unnest(list_distinct(regexp_extract_all(text, '\p{L}+'))) || CASE WHEN turn % 3 = 0 THEN 'q' ELSE '' END AS form FROM conversations)
+@query(f"""WITH c AS (SELECT conv_id, turn, text, unnest(list_distinct(regexp_extract_all(text, '{WORD}'))) || CASE WHEN turn % 3 = 0 THEN 'q' ELSE '' END AS form FROM conversations)
 SELECT conv_id, turn, form, CAST(CASE WHEN contains(text, form) THEN strpos(text, form) - 1 ELSE 0 END AS INTEGER) AS span_start,
        CAST(CASE WHEN contains(text, form) THEN strpos(text, form) - 1 ELSE 0 END + length(form) AS INTEGER) AS span_end FROM c""")
 def form_span(spark, d):
