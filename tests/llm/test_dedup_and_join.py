@@ -310,7 +310,7 @@ def test_line_recall_of_proposals(size):
         x = list(a)
         n = rng.randint(1, max(1, size // 8))
         at = rng.randrange(size - n + 1)
-        x[at : at + n] = "#" * n
+        x[at : at + n] = [rng.choice("ABCDEFGHIJKLMNOP") for _ in range(n)]
         b = "".join(x)
         if 0.8 <= line_dedup.line_jaccard(a, b) <= 0.85:
             pairs += [a, b]
