@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, components, free_names, lean, mix, powers, small, small_batches, stored, table, tasks_for
+from .common import MULT, chunks, components, free_names, lean, mix, powers, small, small_batches, stored, table, tasks_for
 
 SHINGLE = 7
 THRESHOLD = 0.8
@@ -17,37 +17,60 @@ BANDS = 20
 ROWS = 6
 BINS = 128
 FEW, MANY = 64, 128
+PIECE = 1 << 16
+BITS = 2048
 
 _CHARS = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x51ED))
+_EMPTY = np.uint64((1 << 64) - 1)
 _HASH_A = np.random.Generator(np.random.PCG64(99)).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line number, 44-bit hash) of the distinct windows of k characters."""
+def _windows(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line number, 44-bit hash) of the windows of k characters, in their order."""
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(codes) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    value = _CHARS[codes & 0xFFFF]
     high = codes > 0xFFFF
     if high.any():
+        value = _CHARS[codes & 0xFFFF]
         value[high] = mix(codes[high].astype(np.uint64) + np.uint64(0x51ED))
+    else:
+        value = _CHARS[codes]
     up, down = powers(len(codes) + 1)
-    total = np.concatenate(([np.uint64(0)], np.cumsum(value * up[: len(codes)])))
+    value *= up[: len(codes)]
+    total = np.empty(len(codes) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(value, out=total[1:])
+    h = total[k:] - total[: len(codes) - k + 1]
     line = np.repeat(np.arange(len(lines)), lengths)
     inside = line[k - 1 :] == line[: len(line) - k + 1]
-    h = mix((total[k:] - total[: len(codes) - k + 1]) * down[: len(codes) - k + 1])
-    both = np.sort((line[: len(inside)][inside].astype(np.uint64) << np.uint64(44)) | (h[inside] >> np.uint64(20)))
-    new = np.ones(len(both), bool)
-    new[1:] = both[1:] != both[:-1]
-    both = both[new]
-    return (both >> np.uint64(44)).astype(np.int64), both & np.uint64((1 << 44) - 1)
+    h = (h * down[: len(h)])[inside]
+    return line[: len(inside)][inside], mix(h) >> np.uint64(20)
+
+
+def shingles(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line number, 44-bit hash) of the distinct windows of k characters. Worked off in
+    pieces that the caches hold."""
+    parts = []
+    for s, e in chunks(lines, PIECE):
+        of, h = _windows(lines[s:e], k)
+        both = np.sort(of.astype(np.uint64) << np.uint64(44) | h)
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        both = both[new]
+        parts.append(((both >> np.uint64(44)).astype(np.int64) + s, both & np.uint64((1 << 44) - 1)))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
 
 
 def _keys(signature: np.ndarray, scheme: int) -> np.ndarray:
     """Band keys of signatures (lines x BANDS * ROWS)."""
-    s = signature.reshape(len(signature), BANDS, ROWS)
-    return mix((s * MULT[:ROWS]).sum(2, dtype=np.uint64) + MULT[10 + scheme] * np.arange(1, BANDS + 1, dtype=np.uint64))
+    key = MULT[10 + scheme] * np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(ROWS):
+        key = key + signature[:, i::ROWS] * MULT[i]
+    return mix(key)
 
 
 def band_keys(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -58,43 +81,68 @@ def band_keys(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
     most MANY shingles or both have 0.8 x MANY or more, and they share a scheme; both
     schemes propose such a pair with a probability above 0.99 (measured in the tests).
     Lines shorter than k have no key: equal ones are exact copies anyway."""
-    of, h = shingles(lines, k)
-    count = np.bincount(of, minlength=len(lines))
     out_line, out_key = [], []
-    chosen = (count > 0) & (count <= MANY)
-    keep = chosen[of]
-    if keep.any():
-        o, v = of[keep], h[keep]
-        at = np.concatenate(([0], np.flatnonzero(o[1:] != o[:-1]) + 1))
-        sig = np.empty((len(at), BANDS * ROWS), np.uint64)
-        for i, a in enumerate(_HASH_A):
-            sig[:, i] = np.minimum.reduceat((v + MULT[i % 64]) * a, at)
-        out_line.append(np.repeat(o[at], BANDS))
-        out_key.append(_keys(sig, 1).ravel())
-    chosen = count >= FEW
-    keep = chosen[of]
-    if keep.any():
-        o, v = of[keep], h[keep]
-        lines_at = np.flatnonzero(chosen)
-        place = np.searchsorted(lines_at, o) * BINS + (v >> np.uint64(44 - 7)).astype(np.int64)
-        first = np.ones(len(place), bool)
-        first[1:] = place[1:] != place[:-1]  # hashes ascend, so the first of a bin is its least
-        full = np.full(len(lines_at) * BINS, -1, np.int64)
-        full[place[first]] = np.flatnonzero(first)
-        full = full.reshape(-1, BINS)
-        twice = np.concatenate([full, full], 1)[:, ::-1]
-        seen = np.maximum.accumulate(np.where(twice >= 0, np.arange(2 * BINS), -1), 1)
-        away = np.arange(2 * BINS) - seen
-        source = np.take_along_axis(twice, seen, 1)[:, ::-1][:, :BINS]
-        away = away[:, ::-1][:, :BINS].astype(np.uint64)
-        sig = v[source] + (away + np.uint64(1)) * MULT[9]
-        out_line.append(np.repeat(lines_at, BANDS))
-        out_key.append(_keys(np.ascontiguousarray(sig[:, : BANDS * ROWS]), 2).ravel())
+    few: list[tuple[np.ndarray, np.ndarray]] = []  # lines of the first scheme, their windows
+    held = 0
+    for s, e in chunks(lines, PIECE):
+        of, h = _windows(lines[s:e], k)
+        # distinct shingles are at most the windows; they are counted where that leaves it open
+        width = np.bincount(of, minlength=e - s)
+        first, second = (width > 0) & (width <= MANY), width >= FEW
+        if second.any():
+            row = np.cumsum(second) - 1
+            keep = second[of]
+            r, v = row[of[keep]], h[keep]
+            place = r * (8 * BINS) + (v >> np.uint64(44 - 10)).astype(np.int64)
+            taken = np.zeros((row[-1] + 1, 8 * BINS), bool)
+            taken.reshape(-1)[place] = True
+            least_count, width = np.count_nonzero(taken, 1), width[second]
+            open_rows = (least_count < FEW) | ((width > MANY) & (least_count <= MANY))
+            count = np.where(width > MANY, MANY + 1, FEW)
+            if open_rows.any():
+                look = open_rows[r]
+                both = np.sort(r[look].astype(np.uint64) << np.uint64(44) | v[look])
+                both = both[np.append(True, both[1:] != both[:-1])]
+                count[open_rows] = np.bincount((both >> np.uint64(44)).astype(np.int64), minlength=len(count))[open_rows]
+            first[np.flatnonzero(second)[count <= MANY]] = True
+            least = np.full(len(count) * BINS, _EMPTY)
+            np.minimum.at(least, place >> 3, v)
+            chosen = count >= FEW
+            out_line.append(np.repeat(np.flatnonzero(second)[chosen] + s, BANDS))
+            out_key.append(_one_permutation(least.reshape(-1, BINS)[chosen]))
+        if first.any():
+            keep = first[of]
+            few.append((of[keep] + s, h[keep]))
+            held += len(few[-1][0])
+        if few and (held > PIECE // 2 or e == len(lines)):
+            o, v = (np.concatenate(x) for x in zip(*few))
+            few, held = [], 0
+            at = np.concatenate(([0], np.flatnonzero(o[1:] != o[:-1]) + 1))
+            sig = np.empty((BANDS * ROWS, len(at)), np.uint64)
+            hashed = np.empty_like(v)
+            for i, a in enumerate(_HASH_A):
+                np.add(v, MULT[i % 64], out=hashed)
+                np.multiply(hashed, a, out=hashed)
+                np.minimum.reduceat(hashed, at, out=sig[i])
+            out_line.append(np.repeat(o[at], BANDS))
+            out_key.append(_keys(sig.T, 1).ravel())
     if not out_line:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(out_line), np.concatenate(out_key)
 
 
+def _one_permutation(least: np.ndarray) -> np.ndarray:
+    """Band keys of lines by the least hash of each of their bins (lines x BINS). Empty
+    bins take the value of the next full one, and count how far away it is."""
+    bins = np.arange(BINS, dtype=np.int16)
+    none = np.int16(4 * BINS)
+    at = np.minimum.accumulate(np.where(least == _EMPTY, none, bins)[:, ::-1], 1)[:, ::-1]
+    at = np.where(at == none, at[:, :1] + np.int16(BINS), at)[:, : BANDS * ROWS]
+    source = (at & np.int16(BINS - 1)) + np.arange(0, least.size, BINS)[:, None]
+    away = (at - bins[: BANDS * ROWS]).astype(np.uint64) + np.uint64(1)
+    return _keys(least.ravel()[source] + away * MULT[9], 2).ravel()
+
+
 _BANDED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("lines", pa.binary())])
 
 
@@ -115,7 +163,9 @@ def _bands(k: int, bits: int):
             for group in groups:
                 of, key = band_keys([lines[i] for i in group], k)
                 own = ids[np.array(group, np.int64)][of] if group else ids[:0]
-                bucket = (key >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
+                # narrow numbers sort by radix
+                kind = np.uint16 if bits <= 16 else np.int32
+                bucket = (key >> np.uint64(64 - bits)).astype(kind) if bits else np.zeros(len(key), kind)
                 order = np.argsort(bucket, kind="stable")
                 bucket, own, key = bucket[order], own[order], (key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 cut = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])) if len(bucket) else np.zeros(1, np.int64)
@@ -205,6 +255,27 @@ def jaccards(lines: list[str], left: np.ndarray, right: np.ndarray, k: int) -> n
     return common / np.maximum(n[left] + n[right] - common, 1)
 
 
+def bounds(lines: list[str], left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
+    """Upper bounds of the Jaccard similarities of lines[left] and lines[right]. A bit
+    that only one line's shingles set tells of a shingle the other lacks. Lines of
+    several thousand characters set most bits, and their bounds are near 1."""
+    width, bits = np.zeros(len(lines), np.int64), np.zeros((len(lines), BITS // 64), np.uint64)
+    for s, e in chunks(lines, PIECE):
+        of, h = _windows(lines[s:e], k)
+        width[s:e] = np.bincount(of, minlength=e - s)
+        taken = np.zeros((e - s, BITS), bool)
+        taken.reshape(-1)[of * BITS + (h >> np.uint64(44 - 11)).astype(np.int64)] = True
+        bits[s:e] = np.packbits(taken, 1).view(np.uint64)
+    out = np.empty(len(left))
+    for s in range(0, len(left), 1024):
+        a, b = left[s : s + 1024], right[s : s + 1024]
+        both = bits[a] & bits[b]
+        only_a, only_b = (np.bitwise_count(bits[x] ^ both).sum(1, dtype=np.int64) for x in (a, b))
+        most = np.maximum(np.minimum(width[a] - only_a, width[b] - only_b), 0)
+        out[s : s + 1024] = most / np.maximum(most + only_a + only_b, 1)
+    return out
+
+
 def _verify(k: int, threshold: float):
     def run(batches):
         for batch in batches:
@@ -212,20 +283,23 @@ def _verify(k: int, threshold: float):
             ok = np.zeros(len(xs), bool)
             at = 0
             while at < len(xs):
-                # as many pairs as have about two million characters
+                # as many pairs as have about a million characters
                 number: dict[str, int] = {}
                 size, to = 0, at
                 pairs = []
-                while to < len(xs) and (size < 2 << 20 or to == at):
+                while to < len(xs) and (size < 1 << 20 or to == at):
                     pairs.append((number.setdefault(xs[to], len(number)), number.setdefault(ys[to], len(number))))
                     size += len(xs[to]) + len(ys[to])
                     to += 1
                 left, right = np.array(pairs, np.int64).T
-                similar = jaccards(list(number), left, right, k)
-                ok[at:to] = similar >= threshold
+                lines = list(number)
+                may = np.flatnonzero(bounds(lines, left, right, k) >= threshold)
+                used, place = np.unique(np.concatenate([left[may], right[may]]), return_inverse=True)
+                similar = jaccards([lines[i] for i in used], place[: len(may)], place[len(may) :], k)
+                ok[at + may] = similar >= threshold
                 # where equal hashes of different shingles could decide, strings do
-                for i in np.flatnonzero(np.abs(similar - threshold) < 0.01):
-                    ok[at + i] = line_jaccard(xs[at + i], ys[at + i], k) >= threshold
+                for i in at + may[np.abs(similar - threshold) < 0.01]:
+                    ok[i] = line_jaccard(xs[i], ys[i], k) >= threshold
                 at = to
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
@@ -243,7 +317,7 @@ def _decided(df: DataFrame, id_col: str, text_col: str, shingle: int, threshold:
     spark = df.sparkSession
     small_batches(spark)
     lines = _lines(df, id_col, text_col)
-    blank = F.expr(r"line NOT RLIKE '\\S'")
+    blank = F.ltrim(F.col("line"), F.lit(" \t\n\x0b\f\r")) == ""
     where = stored(lines.select("id", "th", "line_no", "lh", blank.alias("blank")), "line-places")
     bits = min(24, max(3, math.ceil(math.log2(tasks_for(df, 16 << 20, 8, 2.0)))))
     worth = lines.where(F.length("line") >= shingle).where(~blank).select("lh", "line")
@@ -289,9 +363,10 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Signatures propose pairs by banding (a similarity of 0.8 is found with a
     probability above 0.99). In each band a star of pairs with the least line comes
-    first. Its pairs are verified by exact Jaccard similarity: every shingle of the one
-    line is looked up in the other by its 44-bit hash, and where the result is within
-    0.01 of the threshold the sets of strings decide. Components come from distributed
+    first. Its pairs are verified by exact Jaccard similarity, but for those that an
+    upper bound puts below the threshold: every shingle of the one line is looked up in
+    the other by its 44-bit hash, and where the result is within 0.01 of the threshold
+    the sets of strings decide. Components come from distributed
     union-find. Groups that their stars have joined are done; in the others the pairs
     across components are verified too, so that no proposed link is lost.
 

@@ -381,3 +381,43 @@ def test_line_recall_at_the_threshold():
     found = [bool(keys[i] & keys[i + 1]) for i in range(0, len(pairs), 2)]
     print("found", sum(found), "of", len(found))
     assert sum(found) >= 0.995 * len(found)
+
+
+def test_line_keys_in_small_pieces():
+    """Two million characters need little working memory, and the keys of a line are
+    the same among others and alone."""
+    import tracemalloc
+
+    rng = random.Random(5)
+    lines = ["".join(rng.choices("abcdefghijklmnop ", k=rng.choice([20, 66, 100, 131, 140, 300, 2000]))) for _ in range(5000)] + ["ab" * 300, "abcdefgh" * 40]
+    line_dedup.band_keys(lines)  # powers are kept
+    tracemalloc.start()
+    of, key = line_dedup.band_keys(lines)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, lines)) > 1_500_000 and peak < 40 << 20
+    for i in [*range(40), len(lines) - 2, len(lines) - 1]:
+        assert sorted(key[of == i].tolist()) == sorted(line_dedup.band_keys([lines[i]])[1].tolist())
+
+
+def test_line_bounds_lose_no_pair():
+    """Bounds are never below the similarity, and put most unlike pairs aside; lines of
+    thousands of characters set most bits, so their pairs are left to be compared."""
+    import numpy as np
+
+    rng = random.Random(6)
+    lines = []
+    for size in (7, 8, 30, 120, 400, 1500, 3000):
+        for _ in range(60):
+            x = rng.choices("abcdefghijklmnop ", k=size)
+            y = list(x)
+            n = rng.randint(0, size // 2)
+            y[:n] = rng.choices("ABCDEF", k=n)
+            lines += ["".join(x), "".join(y)]
+    lines += ["a" * 500, "ab" * 250, "\U0001f600" * 20, "a" * 7]
+    left = np.arange(0, len(lines), 2)
+    bound = line_dedup.bounds(lines, left, left + 1, line_dedup.SHINGLE)
+    true = np.array([line_dedup.line_jaccard(lines[i], lines[i + 1]) for i in left])
+    assert (bound >= true).all()
+    unlike = (true < 0.6) & np.array([len(lines[i]) < 2000 for i in left])
+    assert unlike.sum() > 100 and (bound[unlike] < line_dedup.THRESHOLD).mean() > 0.9
