@@ -34,14 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+# Where the shared folder is a local one and Hadoop lacks its native library, it spawns a
+# chmod for each file it makes, four with the checksum twin of the file. Until it runs,
+# a spawned process maps all memory of its JVM, and what sums up processes counts it again.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
+def stored(df: DataFrame, label: str, plain: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage,
-    fixes the rows, and survives the loss of any executor."""
+    fixes the rows, and survives the loss of any executor. plain: without checksum files
+    in a local folder and without a mark of success, so with fewer spawned processes;
+    the checksums that Parquet keeps of its pages are verified instead."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lemmaforge-{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    df.write.options(**(_PLAIN if plain else {})).parquet(path)
+    verify = {"parquet.page.verify-checksum.enabled": "true"} if plain else {}
+    return spark.read.options(**verify).schema(schema).parquet(path)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
@@ -114,16 +123,16 @@ def lean(run):
     return (lambda t: once(t)) if len(inspect.signature(run).parameters) == 1 else (lambda a, b: once(a, b))
 
 
-def components(edges: DataFrame, label: str = "cc") -> DataFrame:
+def components(edges: DataFrame, label: str = "cc", plain: bool = False) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     edges: (a, b) of one orderable type. Returns (node, root), root being the
     smallest node of the component; nodes that occur only in loops or beside a null
-    are their own root or absent. Each round is written to the shared folder, and
-    the number of rounds grows with the logarithm of the longest path.
+    are their own root or absent. Each round is written to the shared folder (plain: as
+    in stored), and the number of rounds grows with the logarithm of the longest path.
     """
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
-    now = stored(edges.where("a <> b").distinct(), label)
+    now = stored(edges.where("a <> b").distinct(), label, plain)
     before = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -133,7 +142,7 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
         # small star: a node and its smaller neighbours hang on the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         step = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = stored(step.where("a <> b").distinct(), label)
+        now = stored(step.where("a <> b").distinct(), label, plain)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break

@@ -454,20 +454,22 @@ def _sets(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float, p
     small_batches(df.sparkSession)
     keyed = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL").select("id", F.xxhash64("id", "text").alias("hash"), "text")
     # the fragment implies the leading 8 bits or more of a hash, and 56 are stored
-    bits = min(24, max(8, round(math.log2(tasks_for(df, 16 << 20, 8, 2.0)))))
+    tasks = tasks_for(df, 16 << 20, 8, 2.0)
+    bits = min(24, max(8, round(math.log2(tasks))))
     segments = keyed.mapInArrow(lean(_segments(n, bits)), _ddl(_SEG))
     shared = segments.groupBy("frag").applyInArrow(lean(_shared(bits)), _ddl(_SHARED))
-    live = stored(shared.groupBy("chunk").applyInArrow(lean(_live(threshold)), _ddl(_LIVE)), "jaccard-live")
+    # one file for each 32 MB of input, however small the partitions of a shuffle are
+    live = stored(shared.repartition(max(1, tasks // 4), "chunk").groupBy("chunk").applyInArrow(lean(_live(threshold)), _ddl(_LIVE)), "jaccard-live", plain=True)
     docs = live.groupBy("id", "h").agg(F.min(F.struct("chunk", "no", "size", "s1", "s2", "home")).alias("d")).select("id", "h", "d.*")
-    docs = stored(docs, "jaccard-docs")
+    docs = stored(docs, "jaccard-docs", plain=True)
     able = docs.where("s1 IS NOT NULL").groupBy("s1", "s2", "size")
-    sets = stored(able.agg(F.count("*").alias("weight"), F.min(F.struct("id", "h")).alias("least"), F.min(F.struct("chunk", "no")).alias("rep"), F.min("home").alias("home")), "jaccard-sets")
+    sets = stored(able.agg(F.count("*").alias("weight"), F.min(F.struct("id", "h")).alias("least"), F.min(F.struct("chunk", "no")).alias("rep"), F.min("home").alias("home")), "jaccard-sets", plain=True)
     # keys follow the order of homes, so that similar sets are mostly in one block
     order = sets.repartitionByRange("home", "s1", "s2").sortWithinPartitions("home", "s1", "s2")
-    sets = stored(order.select(F.monotonically_increasing_id().alias("key"), "size", "s1", "s2", "weight", F.col("least.id").alias("least"), F.col("least.h").alias("least_h"), "rep.chunk", "rep.no"), "jaccard-sets")
+    sets = stored(order.select(F.monotonically_increasing_id().alias("key"), "size", "s1", "s2", "weight", F.col("least.id").alias("least"), F.col("least.h").alias("least_h"), "rep.chunk", "rep.no"), "jaccard-sets", plain=True)
     reps = live.where("s1 IS NOT NULL").select("chunk", "no", "prefix", "grams").join(small(sets.select("chunk", "no", "key", F.abs("size").alias("size"), "weight"), 48), ["chunk", "no"])
     met = reps.select("key", "size", "prefix", "grams").mapInArrow(lean(_prefixes(bits - 2)), _ddl(_PRE)).groupBy("bucket").applyInArrow(lean(_meets(threshold)), _ddl(_WANT))
-    wants = stored(met.groupBy("key").agg(F.collect_set("other").alias("others")), "jaccard-wants")
+    wants = stored(met.groupBy("key").agg(F.collect_set("other").alias("others")), "jaccard-wants", plain=True)
     cells = reps.select("key", "size", "weight", "grams").join(small(wants, 40), "key").mapInArrow(lean(_cut(parts)), _ddl(_CELL))
     return docs, sets, cells.groupBy("i", "j", "fragment").applyInArrow(lean(_partial(threshold)), _ddl(_PARTIAL))
 
@@ -507,13 +509,13 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     Identifiers are whole numbers, or strings of such.
     """
     docs, sets, partial = _sets(df, id_col, text_col, n, threshold, parts)
-    linked = stored(partial.groupBy("i", "j").applyInArrow(lean(_links(threshold)), _ddl(_LINK)), "jaccard-links")
-    roots = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")), "jaccard-cc").select(F.col("node").alias("key"), "root")
+    linked = stored(partial.groupBy("i", "j").applyInArrow(lean(_links(threshold)), _ddl(_LINK)), "jaccard-links", plain=True)
+    roots = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")), "jaccard-cc", plain=True).select(F.col("node").alias("key"), "root")
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
     full = sets.select("key", "size", "s1", "s2", "weight", F.struct("least", "least_h").alias("least")).join(links, "key", "left").join(roots, "key", "left")
-    full = stored(full.withColumn("root", F.coalesce("root", "key")).withColumn("links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1), "jaccard-full")
+    full = stored(full.withColumn("root", F.coalesce("root", "key")).withColumn("links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1), "jaccard-full", plain=True)
     classes = full.groupBy("root").agg(F.min("least").alias("c"))
-    full = stored(full.where("links > 0").join(small(classes, 32), "root").select("size", "s1", "s2", "links", "c"), "jaccard-classes")
+    full = stored(full.where("links > 0").join(small(classes, 32), "root").select("size", "s1", "s2", "links", "c"), "jaccard-classes", plain=True)
     out = docs.join(small(full, 56), ["size", "s1", "s2"], "left")
     return out.select("id", "h", F.coalesce("c.least", "id").alias("class_id"), F.coalesce("c.least_h", "h").alias("class_h"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
@@ -533,7 +535,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     not matter. An empty table stays empty."""
     away = documents(df, id_col, text_col, n, threshold).where("id <> class_id OR h <> class_h")
     x_id, x_h = free_names(df, "_near_id", "_near_h")
-    away = stored(away.select(F.col("id").alias(x_id), F.col("h").alias(x_h)), "near-away")
+    away = stored(away.select(F.col("id").alias(x_id), F.col("h").alias(x_h)), "near-away", plain=True)
     own = df[id_col].cast("long")
     return df.join(small(away, 32), (own == F.col(x_id)) & (F.xxhash64(own, df[text_col]) == F.col(x_h)), "left_anti")
 

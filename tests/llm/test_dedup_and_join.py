@@ -6,7 +6,7 @@ import pytest
 from conftest import DATA, same_as_sql
 from pyspark.sql import functions as F
 
-from lemmaforge.llm import exact_dedup, line_dedup, ngram_join
+from lemmaforge.llm import common, exact_dedup, line_dedup, ngram_join
 from lemmaforge.llm.common import components, word_hashes
 from lemmaforge.llm.queries import oracle_sql, queries
 
@@ -234,6 +234,37 @@ def test_ngram_steps_with_small_blocks(monkeypatch):
     assert {i: n for i, n in zip(ids, links)} == {i: v[1] for (i, _), v in brute_classes(rows, 4, t).items() if i in set(ids)}
 
 
+def test_ngram_tables_spawn_few_processes(spark, tmp_path, monkeypatch):
+    """Hadoop spawns a chmod for each file it makes in a local folder, and until that
+    runs it counts as one more JVM: tables of the join have few files and no twins."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    df = spark.createDataFrame(near_rows(), "doc_id long, text string").repartition(24)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], "24")
+        spark.conf.set(names[1], "false")
+        ngram_join.classes(df).collect()
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    made = [p.name for p in tmp_path.rglob("*") if p.is_file()]
+    assert made and all(x.startswith("part-") for x in made)
+    assert len(list(tmp_path.glob("lemmaforge-jaccard-live-*/part-*"))) <= 3
+
+
+def test_plain_table_notices_damage(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    df = common.stored(spark.range(20_000).selectExpr("xxhash64(id) AS x").coalesce(1), "damage", plain=True)
+    assert df.agg(F.count("x")).first()[0] == 20_000
+    (file,) = tmp_path.rglob("part-*")
+    data = bytearray(file.read_bytes())
+    data[len(data) // 2] ^= 1
+    file.write_bytes(data)
+    with pytest.raises(Exception, match="(?i)checksum|crc"):
+        df.agg(F.sum(F.col("x").cast("decimal(38,0)"))).collect()
+
+
 def test_ngram_odd_rows(spark):
     df = odd_rows(spark)
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.classes(df).collect())
