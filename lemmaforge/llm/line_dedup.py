@@ -19,6 +19,7 @@ BINS = 128
 FEW, MANY = 64, 128
 PIECE = 1 << 16
 BITS = 2048
+SKETCHED = 4096
 
 _CHARS = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x51ED))
 _EMPTY = np.uint64((1 << 64) - 1)
@@ -43,10 +44,11 @@ def _windows(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     total[0] = 0
     np.cumsum(value, out=total[1:])
     h = total[k:] - total[: len(codes) - k + 1]
-    line = np.repeat(np.arange(len(lines)), lengths)
-    inside = line[k - 1 :] == line[: len(line) - k + 1]
-    h = (h * down[: len(h)])[inside]
-    return line[: len(inside)][inside], mix(h) >> np.uint64(20)
+    # the last k - 1 places of a line begin no window of it
+    width = np.maximum(lengths - (k - 1), 0)
+    inside = np.repeat(np.tile([True, False], len(lines)), np.stack([width, lengths - width], 1).ravel())[: len(h)]
+    h *= down[: len(h)]
+    return np.repeat(np.arange(len(lines)), width), mix(h[inside]) >> np.uint64(20)
 
 
 def shingles(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +68,12 @@ def shingles(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(signature: np.ndarray, scheme: int) -> np.ndarray:
-    """Band keys of signatures (lines x BANDS * ROWS)."""
-    key = MULT[10 + scheme] * np.arange(1, BANDS + 1, dtype=np.uint64)
+    """Band keys (lines x BANDS) of signatures (BANDS * ROWS x lines)."""
+    key = np.empty((BANDS, signature.shape[1]), np.uint64)
+    key[:] = (MULT[10 + scheme] * np.arange(1, BANDS + 1, dtype=np.uint64))[:, None]
     for i in range(ROWS):
-        key = key + signature[:, i::ROWS] * MULT[i]
-    return mix(key)
+        key += signature[i::ROWS] * MULT[i]
+    return np.ascontiguousarray(mix(key).T)
 
 
 def band_keys(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -83,64 +86,86 @@ def band_keys(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
     Lines shorter than k have no key: equal ones are exact copies anyway."""
     out_line, out_key = [], []
     few: list[tuple[np.ndarray, np.ndarray]] = []  # lines of the first scheme, their windows
-    held = 0
-    for s, e in chunks(lines, PIECE):
-        of, h = _windows(lines[s:e], k)
-        # distinct shingles are at most the windows; they are counted where that leaves it open
-        width = np.bincount(of, minlength=e - s)
-        first, second = (width > 0) & (width <= MANY), width >= FEW
-        if second.any():
-            row = np.cumsum(second) - 1
-            keep = second[of]
-            r, v = row[of[keep]], h[keep]
-            place = r * (8 * BINS) + (v >> np.uint64(44 - 10)).astype(np.int64)
-            taken = np.zeros((row[-1] + 1, 8 * BINS), bool)
-            taken.reshape(-1)[place] = True
-            least_count, width = np.count_nonzero(taken, 1), width[second]
-            open_rows = (least_count < FEW) | ((width > MANY) & (least_count <= MANY))
-            count = np.where(width > MANY, MANY + 1, FEW)
-            if open_rows.any():
-                look = open_rows[r]
-                both = np.sort(r[look].astype(np.uint64) << np.uint64(44) | v[look])
-                both = both[np.append(True, both[1:] != both[:-1])]
-                count[open_rows] = np.bincount((both >> np.uint64(44)).astype(np.int64), minlength=len(count))[open_rows]
-            first[np.flatnonzero(second)[count <= MANY]] = True
-            least = np.full(len(count) * BINS, _EMPTY)
-            np.minimum.at(least, place >> 3, v)
-            chosen = count >= FEW
-            out_line.append(np.repeat(np.flatnonzero(second)[chosen] + s, BANDS))
-            out_key.append(_one_permutation(least.reshape(-1, BINS)[chosen]))
-        if first.any():
-            keep = first[of]
-            few.append((of[keep] + s, h[keep]))
-            held += len(few[-1][0])
-        if few and (held > PIECE // 2 or e == len(lines)):
-            o, v = (np.concatenate(x) for x in zip(*few))
-            few, held = [], 0
-            at = np.concatenate(([0], np.flatnonzero(o[1:] != o[:-1]) + 1))
-            sig = np.empty((BANDS * ROWS, len(at)), np.uint64)
-            hashed = np.empty_like(v)
-            for i, a in enumerate(_HASH_A):
-                np.add(v, MULT[i % 64], out=hashed)
-                np.multiply(hashed, a, out=hashed)
-                np.minimum.reduceat(hashed, at, out=sig[i])
-            out_line.append(np.repeat(o[at], BANDS))
-            out_key.append(_keys(sig.T, 1).ravel())
+    bins: list[tuple[np.ndarray, np.ndarray]] = []  # lines of the second, the least hash of their bins
+    # distinct shingles are at most the windows; they are counted where that leaves it open
+    width = np.fromiter(map(len, lines), np.int64, len(lines)) - (k - 1)
+    for low, high in ((1, FEW - 1), (FEW, MANY), (MANY + 1, 1 << 62)):
+        number = np.flatnonzero((width >= low) & (width <= high))
+        some = [lines[i] for i in number.tolist()]
+        for s, e in chunks(some, PIECE):
+            of, h = _windows(some[s:e], k)
+            own = number[s:e]
+            if high < FEW:
+                few.append((own[of], h))
+            else:
+                place = of * (8 * BINS)
+                place += (h >> np.uint64(44 - 10)).astype(np.int64)
+                taken = np.zeros((e - s, 8 * BINS), bool)
+                taken.reshape(-1)[place] = True
+                count = np.count_nonzero(taken, 1)
+                open_rows = count < FEW if high == MANY else count <= MANY
+                if open_rows.any():
+                    look = open_rows[of]
+                    both = np.sort(of[look].astype(np.uint64) << np.uint64(44) | h[look])
+                    both = both[np.append(True, both[1:] != both[:-1])]
+                    count[open_rows] = np.bincount((both >> np.uint64(44)).astype(np.int64), minlength=e - s)[open_rows]
+                # not more windows than MANY are not more distinct ones either
+                first = count <= MANY if high > MANY else np.ones(e - s, bool)
+                if first.all():
+                    few.append((own[of], h))
+                elif first.any():
+                    look = first[of]
+                    few.append((own[of[look]], h[look]))
+                least = np.full((e - s) * BINS, _EMPTY)
+                place >>= 3
+                np.minimum.at(least, place, h)
+                chosen = count >= FEW
+                bins.append((own[chosen], least.reshape(-1, BINS)[chosen]))
+            if sum(len(v) for _, v in few) > PIECE // 2:
+                _flush(few, _independent, out_line, out_key)
+            if sum(len(o) for o, _ in bins) > 1024:
+                _flush(bins, _one_permutation, out_line, out_key)
+    _flush(few, _independent, out_line, out_key)
+    _flush(bins, _one_permutation, out_line, out_key)
     if not out_line:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(out_line), np.concatenate(out_key)
 
 
-def _one_permutation(least: np.ndarray) -> np.ndarray:
-    """Band keys of lines by the least hash of each of their bins (lines x BINS). Empty
-    bins take the value of the next full one, and count how far away it is."""
-    bins = np.arange(BINS, dtype=np.int16)
-    none = np.int16(4 * BINS)
-    at = np.minimum.accumulate(np.where(least == _EMPTY, none, bins)[:, ::-1], 1)[:, ::-1]
-    at = np.where(at == none, at[:, :1] + np.int16(BINS), at)[:, : BANDS * ROWS]
-    source = (at & np.int16(BINS - 1)) + np.arange(0, least.size, BINS)[:, None]
-    away = (at - bins[: BANDS * ROWS]).astype(np.uint64) + np.uint64(1)
-    return _keys(least.ravel()[source] + away * MULT[9], 2).ravel()
+def _flush(held: list, scheme, out_line: list, out_key: list) -> None:
+    """Band keys of what is held, which is then let go."""
+    if held:
+        line, key = scheme(*(np.concatenate(x) for x in zip(*held)))
+        out_line.append(np.repeat(line, BANDS))
+        out_key.append(key.ravel())
+        held.clear()
+
+
+def _independent(of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, band keys) by BANDS * ROWS functions of the windows h of lines."""
+    at = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1))
+    sig = np.empty((BANDS * ROWS, len(at)), np.uint64)
+    hashed = np.empty_like(h)
+    for i, a in enumerate(_HASH_A):
+        np.add(h, MULT[i % 64], out=hashed)
+        np.multiply(hashed, a, out=hashed)
+        np.minimum.reduceat(hashed, at, out=sig[i])
+    return of[at], _keys(sig, 1)
+
+
+def _one_permutation(line: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, band keys) by the least hash of each of their bins (lines x BINS). Empty
+    bins take the value of the next full one, and count how far away it is: that is the
+    value of the bin after them, a step further."""
+    least = np.ascontiguousarray(least.T)
+    full = least != _EMPTY
+    first = full.argmax(0)
+    value = least[first, np.arange(len(line))] + (first + 1).astype(np.uint64) * MULT[9]  # of bin 0
+    for i in range(BINS - 1, -1, -1):
+        value = np.where(full[i], least[i], value)
+        value += MULT[9]
+        least[i] = value
+    return line, _keys(least[: BANDS * ROWS], 2)
 
 
 _BANDED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("lines", pa.binary())])
@@ -185,6 +210,12 @@ def _stars(t: pa.Table) -> pa.Table:
     """Lines that share a band key: each with the least of them as a pair (a, b), and
     the whole group, once, where it has three lines or more."""
     key, line = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()] or [np.zeros(0, kind)]) for c, kind in (("keys", np.uint32), ("lines", np.int64)))
+    # most keys have one line; those go before lines are sorted
+    place = np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64))
+    new = np.ones(len(place) + 1, bool)
+    new[1:-1] = (place[1:] >> np.uint64(32)) != (place[:-1] >> np.uint64(32))
+    met = (place[~(new[1:] & new[:-1])] & np.uint64((1 << 32) - 1)).astype(np.int64)
+    key, line = key[met], line[met]
     order = np.lexsort((line, key))
     key, line = key[order], line[order]
     new = np.ones(len(key), bool)
@@ -210,25 +241,53 @@ def _members(batches):
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([*groups, np.zeros(0, np.int64)]))], names=["no", "lh"])
 
 
-def _across(batches):
-    """Pairs of lines of one group whose components differ, as far as known. Pairs
-    within a component need no look: they would not change it."""
-    most = 1 << 18
-    a, b = [], []
-    for batch in batches:
-        for lines, roots in zip(*(batch.column(c).to_pylist() for c in ("lines", "roots"))):
-            line, root = np.array(lines, np.int64), np.array(roots, np.int64)
-            order = np.argsort(root, kind="stable")
-            line, root = line[order], root[order]
-            ends = np.searchsorted(root, root, "right")
-            for i in np.flatnonzero(ends < len(line)):
-                other = line[ends[i] :]
-                a.append(np.minimum(line[i], other))
-                b.append(np.maximum(line[i], other))
-                if sum(map(len, a[-64:])) > most or len(a) > 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                    a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, np.zeros(0, np.int64)])), pa.array(np.concatenate([*b, np.zeros(0, np.int64)]))], names=["a", "b"])
+def _across(threshold: float):
+    """Pairs of lines of one group whose components differ, as far as known, and whose
+    sketches, where both have one, leave a similarity of the threshold open. Pairs
+    within a component need no look: they would not change it. Rows (no, lh, root,
+    width, bits) come sorted by no and root; the last group of a batch waits for more.
+    A line without a sketch has a width of -1 and takes no room for bits."""
+
+    def pairs(no, lh, root, width, bits):
+        ends, root_ends = (np.append(np.flatnonzero(x), len(no)) for x in (no[1:] != no[:-1], (no[1:] != no[:-1]) | (root[1:] != root[:-1])))
+        ends[:-1] += 1
+        root_ends[:-1] += 1
+        at = np.arange(len(no))
+        last, first = ends[np.searchsorted(ends, at, "right")], root_ends[np.searchsorted(root_ends, at, "right")]
+        total = np.append(0, np.cumsum(last - first))
+        has = width >= 0
+        sketch, width = np.cumsum(has) - 1, width[has]
+        for s in range(0, int(total[-1]), 1 << 13):
+            p = np.arange(s, min(s + (1 << 13), int(total[-1])))
+            a = np.searchsorted(total, p, "right") - 1
+            b = first[a] + p - total[a]
+            may = ~(has[a] & has[b])
+            look = np.flatnonzero(~may)
+            may[look] = _most(width, bits, sketch[a[look]], sketch[b[look]]) >= threshold
+            a, b = lh[a[may]], lh[b[may]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            no, lh, root, width = (batch.column(c).to_numpy() for c in ("no", "lh", "root", "width"))
+            bits = np.frombuffer(b"".join(batch.column("bits").drop_null().to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            now = (no, lh, root, width, bits)
+            if held and held[0][0][0] == no[-1]:
+                held.append(now)
+                continue
+            *whole, bits = (np.concatenate(x) for x in zip(*held, now))
+            cut = int(np.searchsorted(whole[0], no[-1]))
+            shown = np.count_nonzero(whole[3][:cut] >= 0)
+            yield from pairs(*(x[:cut] for x in whole), bits[:shown])
+            held = [(*(x[cut:] for x in whole), bits[shown:])]
+        if held:
+            yield from pairs(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
 
 
 def line_jaccard(x: str, y: str, k: int = SHINGLE) -> float:
@@ -255,10 +314,9 @@ def jaccards(lines: list[str], left: np.ndarray, right: np.ndarray, k: int) -> n
     return common / np.maximum(n[left] + n[right] - common, 1)
 
 
-def bounds(lines: list[str], left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
-    """Upper bounds of the Jaccard similarities of lines[left] and lines[right]. A bit
-    that only one line's shingles set tells of a shingle the other lacks. Lines of
-    several thousand characters set most bits, and their bounds are near 1."""
+def _sketches(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line the number of its windows, and a bit for each of BITS ranges of
+    hashes that tells whether a shingle falls there."""
     width, bits = np.zeros(len(lines), np.int64), np.zeros((len(lines), BITS // 64), np.uint64)
     for s, e in chunks(lines, PIECE):
         of, h = _windows(lines[s:e], k)
@@ -266,16 +324,38 @@ def bounds(lines: list[str], left: np.ndarray, right: np.ndarray, k: int) -> np.
         taken = np.zeros((e - s, BITS), bool)
         taken.reshape(-1)[of * BITS + (h >> np.uint64(44 - 11)).astype(np.int64)] = True
         bits[s:e] = np.packbits(taken, 1).view(np.uint64)
+    return width, bits
+
+
+def _most(width: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Upper bounds of Jaccard similarities by sketches."""
     out = np.empty(len(left))
     for s in range(0, len(left), 1024):
         a, b = left[s : s + 1024], right[s : s + 1024]
-        both = bits[a] & bits[b]
-        only_a, only_b = (np.bitwise_count(bits[x] ^ both).sum(1, dtype=np.int64) for x in (a, b))
+        x, y = bits[a], bits[b]
+        both = x & y
+        only_a, only_b = (np.bitwise_count(z ^ both).sum(1, dtype=np.int64) for z in (x, y))
         most = np.maximum(np.minimum(width[a] - only_a, width[b] - only_b), 0)
         out[s : s + 1024] = most / np.maximum(most + only_a + only_b, 1)
     return out
 
 
+def bounds(lines: list[str], left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
+    """Upper bounds of the Jaccard similarities of lines[left] and lines[right]. A bit
+    that only one line's shingles set tells of a shingle the other lacks. Lines of
+    several thousand characters set most bits, and their bounds are near 1."""
+    return _most(*_sketches(lines, k), left, right)
+
+
+def _sketched(k: int):
+    def run(batches):
+        for batch in batches:
+            width, bits = _sketches(batch.column("line").to_pylist(), k)
+            yield pa.RecordBatch.from_arrays([batch.column("lh"), pa.array(width), pa.array([x.tobytes() for x in bits], pa.binary())], names=["lh", "width", "bits"])
+
+    return run
+
+
 def _verify(k: int, threshold: float):
     def run(batches):
         for batch in batches:
@@ -308,7 +388,9 @@ def _verify(k: int, threshold: float):
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    at = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
+    # the hash of a text comes before its lines: beside them it would be made for each
+    of = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    at = of.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return at.withColumn("lh", F.xxhash64("line"))
 
 
@@ -320,12 +402,13 @@ def _decided(df: DataFrame, id_col: str, text_col: str, shingle: int, threshold:
     blank = F.ltrim(F.col("line"), F.lit(" \t\n\x0b\f\r")) == ""
     where = stored(lines.select("id", "th", "line_no", "lh", blank.alias("blank")), "line-places")
     bits = min(24, max(3, math.ceil(math.log2(tasks_for(df, 16 << 20, 8, 2.0)))))
-    worth = lines.where(F.length("line") >= shingle).where(~blank).select("lh", "line")
-    banded = worth.mapInArrow(lean(_bands(shingle, bits)), "bucket int, keys binary, lines binary")
+    # lines of fewer characters than bytes may come along; they get no key
+    worth = lines.where(F.octet_length("line") >= shingle).select("lh", "line", blank.alias("blank"))
+    banded = worth.where("NOT blank").select("lh", "line").mapInArrow(lean(_bands(shingle, bits)), "bucket int, keys binary, lines binary")
     met = stored(banded.groupBy("bucket").applyInArrow(lean(_stars), "a long, b long, group binary"), "line-met")
     stars = stored(met.where("a IS NOT NULL").select("a", "b").distinct(), "line-stars")
     needed = stored(stars.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), "line-needed")
-    texts = stored(worth.join(small(needed, 16), "lh", "left_semi").groupBy("lh").agg(F.min("line").alias("line")), "line-texts")
+    texts = stored(worth.select("lh", "line").join(small(needed, 16), "lh", "left_semi").groupBy("lh").agg(F.min("line").alias("line")), "line-texts")
 
     def verified(some: DataFrame) -> DataFrame:
         x, y = texts.select(F.col("lh").alias("a"), F.col("line").alias("x")), texts.select(F.col("lh").alias("b"), F.col("line").alias("y"))
@@ -338,17 +421,24 @@ def _decided(df: DataFrame, id_col: str, text_col: str, shingle: int, threshold:
     groups = met.where("group IS NOT NULL").select("group").distinct().withColumn("no", F.monotonically_increasing_id())
     members = stored(groups.mapInArrow(_members, "no long, lh long"), "line-members")
     rooted = members.join(small(roots.withColumnRenamed("node", "lh"), 16), "lh", "left").select("no", "lh", F.coalesce("root", "lh").alias("root"))
-    parted = rooted.groupBy("no").agg(F.collect_list("lh").alias("lines"), F.collect_list("root").alias("roots"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    open_pairs = parted.select("lines", "roots").mapInArrow(lean(_across), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+    apart = rooted.groupBy("no").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("no", "n")
+    opened = stored(rooted.join(small(stored(apart, "line-apart"), 24), "no"), "line-open")
+    # groups of many lines go without sketches, so that their rows stay small
+    wanted = stored(opened.where(F.col("n") <= SKETCHED).select("lh").distinct(), "line-wanted")
+    sketches = texts.join(small(wanted, 16), "lh", "left_semi").select("lh", "line").mapInArrow(lean(_sketched(shingle)), "lh long, width long, bits binary")
+    shown = opened.join(sketches.withColumnRenamed("lh", "lh_"), (F.col("lh") == F.col("lh_")) & (F.col("n") <= SKETCHED), "left").select("no", "lh", "root", F.coalesce("width", F.lit(-1)).alias("width"), "bits")
+    parted = shown.repartition("no").sortWithinPartitions("no", "root")
+    open_pairs = parted.mapInArrow(lean(_across(threshold)), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     more = stored(verified(open_pairs), "line-edges")
     if not more.isEmpty():
         roots = stored(components(first.union(more), "line-cc"), "line-roots")
-    # the first place of each distinct line, then of each component of several places
+    # lines of several places, by components, and the first place of each component
     place = F.struct("id", "line_no", "th")
-    once = where.where("NOT blank").groupBy("lh").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    once = stored(once.join(small(roots.withColumnRenamed("node", "lh"), 16), "lh", "left").withColumn("root", F.coalesce("root", "lh")), "line-once")
-    reps = stored(once.groupBy("root").agg(F.min("first").alias("rep"), F.sum("n").alias("n")).where("n > 1").select("root", "rep"), "line-reps")
-    reps = stored(once.select("lh", "root").join(small(reps, 48), "root").select("lh", "rep"), "line-reps")
+    filled = where.where("NOT blank")
+    again = filled.groupBy("lh").agg(F.count("*").alias("n")).where("n > 1").select("lh").union(roots.select("node")).distinct()
+    several = stored(again.join(small(roots.withColumnRenamed("node", "lh"), 16), "lh", "left").select("lh", F.coalesce("root", "lh").alias("root")), "line-several")
+    reps = stored(filled.join(small(several, 16), "lh").groupBy("root").agg(F.min(place).alias("rep")), "line-reps")
+    reps = stored(several.join(small(reps, 48), "root").select("lh", "rep"), "line-reps")
     own = where.join(small(reps, 48), "lh", "left").withColumn("rep", F.when(F.col("blank"), None).otherwise(F.col("rep")))
     rep = F.coalesce("rep", place)
     kept = F.expr("id <=> rep.id AND line_no = rep.line_no AND th = rep.th")
@@ -368,7 +458,9 @@ def line_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     the other by its 44-bit hash, and where the result is within 0.01 of the threshold
     the sets of strings decide. Components come from distributed
     union-find. Groups that their stars have joined are done; in the others the pairs
-    across components are verified too, so that no proposed link is lost.
+    across components are verified too, so that no proposed link is lost, but for those
+    that the same bound rules out by sketches of the lines (groups of more than SKETCHED
+    lines send all their pairs).
 
     Blank lines, and those of null or empty texts, are kept as they are. A null
     identifier is taken as one before all others. Rows repeated as a whole share one

@@ -452,3 +452,81 @@ def test_line_bounds_lose_no_pair():
     assert (bound >= true).all()
     unlike = (true < 0.6) & np.array([len(lines[i]) < 2000 for i in left])
     assert unlike.sum() > 100 and (bound[unlike] < line_dedup.THRESHOLD).mean() > 0.9
+
+
+def test_line_stars_sort_only_keys_that_meet():
+    """Keys of one line, which most are, cost a fraction of a sort by key and line."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    key, line = rng.integers(0, 1 << 32, 1_000_000, dtype=np.uint32), rng.integers(-(1 << 62), 1 << 62, 1_000_000)
+    key[-30:] = np.repeat(key[:10], 3)
+    t = pa.table({"bucket": pa.array([0, 0], pa.int32()), "keys": pa.array([key[:7].tobytes(), key[7:].tobytes()], pa.binary()), "lines": pa.array([line[:7].tobytes(), line[7:].tobytes()], pa.binary())})
+    cpu = []
+    for run in (lambda: np.lexsort((line, key)), lambda: line_dedup._stars(t)):
+        began = time.process_time()
+        out = run()
+        cpu.append(time.process_time() - began)
+    assert cpu[1] < cpu[0] / 2
+    want, groups = set(), set()
+    for k in np.unique(key)[np.unique(key, return_counts=True)[1] > 1]:
+        own = np.unique(line[key == k])
+        want |= {(int(own[0]), int(x)) for x in own[1:]}
+        groups |= {own.tobytes()} if len(own) > 2 else set()
+    rows = out.to_pylist()
+    assert {(r["a"], r["b"]) for r in rows if r["a"] is not None} == want and len(want) >= 30
+    assert {r["group"] for r in rows if r["group"] is not None} == groups and len(groups) >= 10
+
+
+def test_line_pairs_across_components_by_sketches():
+    """Of the pairs of a group across components those that sketches leave open are
+    sent, also where a group spans batches; lines without a sketch send all."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    lines, no, root = [], [], []
+    for g in range(40):
+        base = [rng.choice("abcdefgh ") for _ in range(rng.choice([40, 120, 500]))]
+        for i in range(rng.choice([2, 5, 9])):
+            x = list(base)
+            for _ in range(rng.choice([0, 1, 2, len(x) // 6])):
+                x[rng.randrange(len(x))] = rng.choice("xyz")
+            lines.append("".join(x))
+            no.append(g)
+            root.append(i // 2)
+    width, bits = line_dedup._sketches(lines, line_dedup.SHINGLE)
+    bare = np.array([g % 10 == 0 for g in no])
+    t = pa.table({"no": no, "lh": np.arange(len(lines)), "root": root, "width": np.where(bare, -1, width), "bits": pa.array([None if b else x.tobytes() for b, x in zip(bare, bits)], pa.binary())})
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if no[a] == no[b] and root[a] != root[b]]
+    like = {(a, b) for a, b in pairs if bare[a] or line_dedup.line_jaccard(lines[a], lines[b]) >= line_dedup.THRESHOLD}
+    for rows in (1, 4, 1000):
+        sent = [(a, b) for x in line_dedup._across(line_dedup.THRESHOLD)(iter(t.to_batches(rows))) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist())]
+        assert len(sent) == len(set(sent)) and like <= set(sent) <= set(pairs)
+        assert len(set(sent) - like) < (len(pairs) - len(like)) / 4
+    assert len(like) > 60 and len(pairs) - len(like) > 100
+
+
+def test_lines_in_groups_without_sketches(spark, monkeypatch):
+    """Groups too large for sketches come to the same result."""
+    rng = random.Random(13)
+    rows = []
+    for no in range(30):
+        x = [rng.choice("abcdefgh ijkl") for _ in range(90)] if no % 10 == 0 else list(rows[-1][1])
+        for _ in range(2):
+            x[rng.randrange(90)] = rng.choice("xyz")
+        rows.append((no, "".join(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(str, line_dedup.line_groups(df).collect()))]
+    monkeypatch.setattr(line_dedup, "SKETCHED", 2)
+    assert sorted(map(str, line_dedup.line_groups(df).collect())) == found[0] and any("kept=False" in x for x in found[0])
+
+
+def test_text_is_hashed_once_not_for_each_line(spark):
+    df = spark.createDataFrame([(1, "one\ntwo")], "doc_id long, text string")
+    plan = line_dedup._lines(df, "doc_id", "text").select("id", "th", "lh")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert above.count("xxhash64") == 1 and below.count("xxhash64") == 1
