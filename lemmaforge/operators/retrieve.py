@@ -8,61 +8,98 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 64 << 20
-CHUNK_ROWS = 4096
+#: Rows and lemmas of one matrix product: 4 MB of similarities.
+TILE = 256, 2048
+
+
+def _search(q: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of q the first row of e of greatest product, and the product. Tile
+    by tile, so that memory does not follow the number of rows times lemmas."""
+    place, best = np.zeros(len(q), np.int64), np.full(len(q), -np.inf)
+    for lo in range(0, len(q), TILE[0]):
+        part = q[lo : lo + TILE[0]]
+        at, top = place[lo : lo + TILE[0]], best[lo : lo + TILE[0]]
+        for k in range(0, len(e), TILE[1]):
+            s = part @ e[k : k + TILE[1]].T
+            j = s.argmax(1)
+            v = s[np.arange(len(j)), j]
+            more = (v > top) | (np.isnan(v) & ~np.isnan(top))
+            at[more], top[more] = j[more] + k, v[more]
+    return place, best
+
+
+class _Block:
+    """The bank rows of one cell, in the order of their identifiers."""
+
+    def __init__(self, parts: list, keep_unknown_pos: bool):
+        ids, vectors, tags = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.e = ids[order], vectors[order]
+        by_tag: dict = {}
+        bare = []
+        for i, found in enumerate(tags[order]):
+            for t in set(found) if found else ():
+                by_tag.setdefault(t, []).append(i)
+            if not found and keep_unknown_pos:
+                bare.append(i)
+        self.bare = np.array(bare, np.int64)
+        self.by_tag = {t: np.union1d(np.array(x, np.int64), self.bare) for t, x in by_tag.items()}
+        self.last = None, None
+
+    def fit(self, tag: str | None):
+        """(identifiers, vectors) of the lemmas that fit a tag; None without any."""
+        at = self.by_tag.get(tag, self.bare) if tag else self.bare[:0]
+        if not len(at):
+            return None
+        if self.last[0] != tag:
+            self.last = tag, (self.ids[at], self.e[at])
+        return self.last[1]
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(rows, -1)
+
+
+def _best(keep_unknown_pos: bool):
+    """Rows come by cell, the bank's part of the cell first."""
 
-
-def _chunks(dim_rows: int):
     def run(batches):
+        cell, parts, block = None, [], None
         for batch in batches:
-            for lo in range(0, batch.num_rows, dim_rows):
-                part = batch.slice(lo, dim_rows)
-                q = part.column("q")
-                flat = np.asarray(q.flatten(), np.float64)
+            cells, of_bank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "of_bank"))
+            edges = np.flatnonzero((cells[1:] != cells[:-1]) | (of_bank[1:] != of_bank[:-1])) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(cells)]):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if cells[lo] != cell:
+                    cell, parts, block = cells[lo], [], None
+                if of_bank[lo]:
+                    tags = np.empty(hi - lo, object)
+                    tags[:] = part.column("tags").to_pylist()
+                    parts.append((part.column("lemma_id").to_numpy(), _matrix(part.column("v"), hi - lo), tags))
+                    continue
+                if block is None:
+                    if not parts:
+                        continue
+                    block, parts = _Block(parts, keep_unknown_pos), []
                 pos = part.column("pos").to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("row").to_pylist()], pa.list_(part.schema.field("row").type)), pa.array([pos], pa.list_(pa.string())), pa.array([flat.tobytes()], pa.binary())], names=["rows", "pos", "q"])
-
-    return run
-
-
-def _pack(t: pa.Table) -> pa.Table:
-    order = np.argsort(t.column("lemma_id").to_numpy(), kind="stable")
-    t = t.take(pa.array(order))
-    e = np.asarray(t.column("embedding").combine_chunks().flatten(), np.float64)
-    return pa.table({"block": [t.column("block")[0].as_py()], "ids": [t.column("lemma_id").to_numpy().astype(np.int64).tobytes()], "tags": [t.column("pos_tags").to_pylist()], "e": [e.tobytes()]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("tags", pa.list_(pa.list_(pa.string()))), ("e", pa.binary())]))
-
-
-def _best(keep_unknown_pos: bool, use_pos: bool):
-    def run(batches):
-        cache: dict = {}
-        for batch in batches:
-            rows_out, kind_out, id_out, sim_out = [], [], [], []
-            for r in range(batch.num_rows):
-                rows, pos = batch.column("rows")[r].as_py(), batch.column("pos")[r].as_py()
-                block = batch.column("block")[r].as_py()
-                if block not in cache:
-                    cache.clear()
-                    ids = np.frombuffer(batch.column("ids")[r].as_py(), np.int64)
-                    e = np.frombuffer(batch.column("e")[r].as_py(), np.float64).reshape(len(ids), -1)
-                    cache[block] = (ids, e, [set(x or []) for x in batch.column("tags")[r].as_py()])
-                ids, e, tags = cache[block]
-                q = np.frombuffer(batch.column("q")[r].as_py(), np.float64).reshape(len(rows), -1)
-                sims = q @ e.T
-
-                def add(at, s, lemma_ids, filtered):
-                    j = s.argmax(1)
-                    rows_out.extend(rows[i] for i in at)
-                    kind_out.extend([filtered] * len(at))
-                    id_out.append(lemma_ids[j])
-                    sim_out.append(s[np.arange(len(at)), j])
-
-                add(range(len(rows)), sims, ids, False)
-                if use_pos:
-                    for p in set(filter(None, pos)):
-                        fit = np.array([p in t or (keep_unknown_pos and not t) for t in tags])
-                        if fit.any():
-                            at = [i for i, x in enumerate(pos) if x == p]
-                            add(at, sims[at][:, fit], ids[fit], True)
-            yield pa.RecordBatch.from_arrays([pa.array(rows_out, batch.schema.field("rows").type.value_type), pa.array(kind_out, pa.bool_()), pa.array(np.concatenate([*id_out, np.zeros(0, np.int64)])), pa.array(np.concatenate([*sim_out, np.zeros(0)]))], names=["row", "filtered", "lemma_id", "sim"])
+                q = _matrix(part.column("v"), hi - lo)
+                ids, sims, filtered = np.zeros(len(q), np.int64), np.zeros(len(q)), np.zeros(len(q), bool)
+                whole = []
+                for tag in sorted(set(filter(None, pos))):
+                    at = np.array([i for i, x in enumerate(pos) if x == tag])
+                    found = block.fit(tag)
+                    if found is None:
+                        whole.append(at)
+                        continue
+                    j, s = _search(q[at], found[1])
+                    ids[at], sims[at], filtered[at] = found[0][j], s, True
+                whole.append(np.array([i for i, x in enumerate(pos) if not x], np.int64))
+                at = np.concatenate(whole)
+                j, s = _search(q[at], block.e)
+                ids[at], sims[at] = block.ids[j], s
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(filtered), pa.array(ids), pa.array(sims)], names=["row", "filtered", "lemma_id", "sim"])
 
     return run
 
@@ -74,20 +111,26 @@ def top1(rows: DataFrame, bank: DataFrame, row_id: str, q: str = "q", pos: str |
     tags that no lemma has, search the whole bank. A lemma without tags fits no tag
     unless keep_unknown_pos.
 
-    Rows travel in chunks and the bank in blocks of BLOCK_BYTES; each pair of chunk and
-    block is one matrix product, and a bank of several blocks adds a maximum per row.
-    The planner broadcasts the blocks if they are small and crosses them by partition
-    if not.
+    The bank is dealt by hash to blocks of about BLOCK_BYTES, the rows to as many strips
+    as keep all cores busy; every pair of strip and block is a cell. A cell's task holds
+    its block and reads its rows as a stream, so nothing is broadcast and a task's memory
+    depends neither on the number of rows nor on that of lemmas. The work stays rows
+    times lemmas.
     """
     kind = dict(rows.dtypes)[row_id]
-    tag = F.col(pos) if pos else F.lit(None)
-    base = rows.select(F.col(row_id).alias("row"), tag.cast("string").alias("pos"), F.col(q).cast("array<double>").alias("q"))
-    chunks = base.mapInArrow(_chunks(CHUNK_ROWS), f"rows array<{kind}>, pos array<string>, q binary")
-    dim = bank.select(F.size("embedding").alias("d")).head()
-    per_block = max(1, BLOCK_BYTES // (8 * (dim["d"] if dim else 1)))
-    b = bank.select("lemma_id", F.col("embedding").cast("array<double>").alias("embedding"), "pos_tags" if "pos_tags" in bank.columns else F.array().cast("array<string>").alias("pos_tags"))
-    blocks = b.withColumn("block", F.floor(F.col("lemma_id") / per_block)).groupBy("block").applyInArrow(_pack, "block long, ids binary, tags array<array<string>>, e binary")
-    found = chunks.crossJoin(blocks).mapInArrow(_best(keep_unknown_pos, pos is not None), f"row {kind}, filtered boolean, lemma_id long, sim double")
+    sc = rows.sparkSession.sparkContext
+    of = bank.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    blocks = max(1, -(-of["n"] * 8 * (of["d"] or 1) // BLOCK_BYTES))
+    strips = -(-3 * max(8, sc.defaultParallelism) // blocks)
+    vector = "array<float>" if {dict(rows.dtypes)[q], dict(bank.dtypes)["embedding"]} == {"array<float>"} else "array<double>"
+    tag, none = F.col(pos) if pos else F.lit(None), F.lit(None)
+    tags = F.col("pos_tags") if "pos_tags" in bank.columns else none
+    strip = F.pmod(F.xxhash64(row_id), F.lit(strips)).cast("int")
+    left = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b * strips + strip)).alias("cell"), F.lit(False).alias("of_bank"), F.col(row_id).alias("row"), tag.cast("string").alias("pos"), none.cast("long").alias("lemma_id"), none.cast("array<string>").alias("tags"), F.col(q).cast(vector).alias("v"))
+    block = F.pmod(F.xxhash64("lemma_id"), F.lit(blocks)).cast("int")
+    right = bank.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(strips - 1)), lambda x: block * strips + x)).alias("cell"), F.lit(True).alias("of_bank"), none.cast(kind).alias("row"), none.cast("string").alias("pos"), F.col("lemma_id").cast("long"), tags.cast("array<string>").alias("tags"), F.col("embedding").cast(vector).alias("v"))
+    cells = left.union(right).repartitionById(blocks * strips, F.col("cell")).sortWithinPartitions("cell", F.desc("of_bank"), "pos")
+    found = cells.mapInArrow(_best(keep_unknown_pos), f"row {kind}, filtered boolean, lemma_id long, sim double")
     best = found.groupBy("row").agg(F.max(F.struct("filtered", "sim", (-F.col("lemma_id")).alias("neg"))).alias("b"))
     return best.select(F.col("row").alias(row_id), (-F.col("b.neg")).alias("lemma_id"), F.col("b.sim").alias("sim"))
 

@@ -163,3 +163,18 @@ def test_unknown_of_a_long_document(spark):
     r = assemble.doc_records(rows, spark.createDataFrame([(1, "t"), (2, None)], "doc_id long, text string")).where("doc_id = 1").first()
     assert time.time() - began < 60
     assert len(r.unknown) == 20_000 and {u["count"] for u in r.unknown} == {3} and r.unknown[0].token == "מלהא" and r.unknown[19_999].token == r.tokens[19_999].token
+
+
+def test_retrieval_in_cells(spark):
+    """No pair of chunk and block travels as a row, and identifiers need not be dense."""
+    rng = np.random.default_rng(2)
+    b = spark.createDataFrame([(i * 10**12, rng.normal(size=4).tolist()) for i in range(300)], "lemma_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(500)], "row long, q array<double>")
+    small, retrieve.BLOCK_BYTES = retrieve.BLOCK_BYTES, 4 * 8 * 70
+    try:
+        found = retrieve.top1(q, b, "row")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
+        assert {r.row: r.lemma_id for r in found.collect()} == {r.row: r.lemma_id for r in retrieve.top1_sql(q, b, "row").collect()}
+    finally:
+        retrieve.BLOCK_BYTES = small
