@@ -178,3 +178,18 @@ def test_retrieval_in_cells(spark):
         assert {r.row: r.lemma_id for r in found.collect()} == {r.row: r.lemma_id for r in retrieve.top1_sql(q, b, "row").collect()}
     finally:
         retrieve.BLOCK_BYTES = small
+
+
+def test_retrieval_by_tag_in_cells(spark):
+    """A tag is looked for in every block; where one has it, the whole bank is not searched."""
+    rng = np.random.default_rng(3)
+    b = spark.createDataFrame([(i * 10**12, rng.normal(size=4).tolist(), ["A"] if i == 7 else []) for i in range(300)], "lemma_id long, embedding array<double>, pos_tags array<string>")
+    q = spark.createDataFrame([(i, rng.normal(size=4).tolist(), "A" if i % 2 else "Z") for i in range(50)], "row long, q array<double>, pos string")
+    free = {r.row: r.lemma_id for r in retrieve.top1_sql(q, b, "row").collect()}
+    small, retrieve.BLOCK_BYTES = retrieve.BLOCK_BYTES, 4 * 8 * 70
+    try:
+        found = retrieve.top1(q, b, "row", pos="pos")
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.row: r.lemma_id for r in found.collect()} == {i: 7 * 10**12 if i % 2 else free[i] for i in range(50)}
+    finally:
+        retrieve.BLOCK_BYTES = small
