@@ -193,3 +193,31 @@ def test_retrieval_by_tag_in_cells(spark):
         assert {r.row: r.lemma_id for r in found.collect()} == {i: 7 * 10**12 if i % 2 else free[i] for i in range(50)}
     finally:
         retrieve.BLOCK_BYTES = small
+
+
+def test_a_form_is_encoded_once(spark):
+    """An encoder that reads no sentence sees each form once, and no large side is broadcast."""
+
+    class Counted(HashEncoder):
+        def encode_query(self, rows, *names):
+            self.n = rows.count()
+            return super().encode_query(rows, *names)
+
+    enc = Counted(16, 2)
+    b = enc.encode_lemma(spark.createDataFrame([(0, "אב", [], "x"), (1, "גד", [], "x")], "lemma_id long, lemma string, pos_tags array<string>, source string"))
+    docs = spark.createDataFrame([(i, f"אב {i}. גד אב") for i in range(20)], "doc_id long, text string")
+    pred = Lemmatizer(b, enc).token_predictions(docs)
+    assert enc.n == 22
+    assert "Broadcast" not in pred._jdf.queryExecution().executedPlan().toString()
+    assert pred.count() == 80 and pred.where("form = 'אב' AND lemma = 'אב'").count() == 40
+
+
+def test_bank_numbers_go_on_over_spans(spark):
+    """lemma_id is dense over far places and priorities, and no window sees all lemmas."""
+    far = [0, 5, 5, (1 << 20) + 3, (1 << 20) + 4, 1 << 33, (1 << 33) + (1 << 21)]
+    tb = spark.createDataFrame([(o, f"t{i}", "N") for i, o in enumerate(far)] + [(9, "t0", "V")], "o long, lemma string, pos string")
+    lx = spark.createDataFrame([(o, f"x{i}") for i, o in enumerate(far)] + [(1, "t3")], "o long, value string")
+    b = bank.build_bank(bank.treebank_rows(tb, "o"), bank.lexicon_rows(lx, order="o"))
+    assert [(r.lemma_id, r.lemma) for r in b.orderBy("lemma_id").collect()] == list(enumerate([f"t{i}" for i in range(7)] + [f"x{i}" for i in range(7)]))
+    assert b.where("lemma = 't0'").first().pos_tags == ["N", "V"]
+    assert "row_number() windowspecdefinition(_p" in b._jdf.queryExecution().executedPlan().toString()
