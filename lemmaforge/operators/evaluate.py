@@ -10,10 +10,11 @@ from ..functions.edits import coverage
 
 def accuracy(pred: DataFrame, train: DataFrame, form: str = "form", lemma: str = "lemma", gold: str = "gold", split: str = "split") -> DataFrame:
     """(split, seen, n, accuracy) by exact match, with subtotals (null) by rollup; a
-    form is seen if it occurs in train."""
+    form is seen if it occurs in train. Equal rows are counted before they are joined."""
     known = train.select(F.col(form).alias("_f")).distinct()
-    rows = pred.join(known, F.col(form) == F.col("_f"), "left").select(split, F.when(F.col("_f").isNotNull(), "seen").otherwise("unseen").alias("seen"), F.col(lemma).eqNullSafe(F.col(gold)).cast("int").alias("ok"))
-    return rows.rollup(split, "seen").agg(F.count("*").alias("n"), F.avg("ok").alias("accuracy"))
+    equal = pred.groupBy(split, form, F.col(lemma).eqNullSafe(F.col(gold)).cast("int").alias("ok")).agg(F.count("*").alias("c"))
+    rows = equal.join(known.hint("merge"), F.col(form) == F.col("_f"), "left").select(split, F.when(F.col("_f").isNotNull(), "seen").otherwise("unseen").alias("seen"), "ok", "c")
+    return rows.rollup(split, "seen").agg(F.sum("c").alias("n"), (F.sum(F.col("ok") * F.col("c")) / F.sum("c")).alias("accuracy"))
 
 
 def b_cubed(pred: DataFrame, lemma: str = "lemma", gold: str = "gold") -> DataFrame:
@@ -39,7 +40,8 @@ def low_overlap(pred: DataFrame, train: DataFrame, tau: float = 0.5, form: str =
 
 def compare_systems(left: DataFrame, right: DataFrame, form: str = "form", lemma: str = "lemma", order: str = "row_id") -> DataFrame:
     """(row_id, form, ours, theirs, diff): for each row of left the last answer of right
-    for the form; diff where it is missing or another."""
-    other = right.groupBy(F.col(form).alias("_f")).agg(F.max_by(lemma, order).alias("theirs"))
-    both = left.join(other, F.col(form) == F.col("_f"), "left")
+    for the form; diff where it is missing or another. Answers are looked at once each."""
+    last = right.groupBy(form, lemma).agg(F.max(order).alias(order))
+    other = last.groupBy(F.col(form).alias("_f")).agg(F.max_by(lemma, order).alias("theirs"))
+    both = left.join(other.hint("merge"), F.col(form) == F.col("_f"), "left")
     return both.select(order, form, F.col(lemma).alias("ours"), "theirs", (~F.col(lemma).eqNullSafe(F.col("theirs"))).alias("diff"))

@@ -100,3 +100,21 @@ def test_sql_functions(spark):
     r = spark.sql("SELECT coverage('בספרו', 'ספר') a, derive_script('הם', 'הוא') b, apply_script('המטענים', '1¦¦2¦') c, normalize_text('ג׳') d, collapse_gender_slash('כותב/ת') e").first()
     assert (r.a, r.b, r.c, r.d, r.e) == (1.0, "0¦¦1¦וא", "מטען", "ג'", "כותב")
     assert [t.token for t in spark.sql("SELECT * FROM tokenize_doc('a b. c')").collect()] == ["a", "b", ".", "c"]
+
+
+def test_token_counts_of_repeated_keys(spark):
+    """Counts by task and counts by document agree; a repeated key is one document."""
+    from lemmaforge.operators.tokens import token_counts
+
+    rows = [(i, "a b a. ٣.٤ é x1") for i in range(300)]
+    found = lambda r: {x.token: (x.n, x.docs) for x in token_counts(spark.createDataFrame(r, "doc_id long, text string")).collect()}
+    assert found(rows) == {"a": (600, 300), "b": (300, 300), "x1": (300, 300)}
+    assert found([*rows, (7, "b c"), (8, None)]) == {"a": (600, 300), "b": (301, 300), "x1": (300, 300), "c": (1, 1)}
+
+
+def test_first_places(spark):
+    from lemmaforge.operators.tokens import first_places
+
+    docs = spark.createDataFrame([("u", 10, "B a² a b"), ("u", 0, "c" + " d" * 20 + " b"), ("v", 5, "a"), ("v", None, "z"), (None, 3, None)], "tag string, base long, text string").coalesce(1)
+    got = first_places(docs).groupBy("tag", "w").agg({"o": "min"}).collect()
+    assert {(r.tag, r.w): r[2] for r in got} == {("u", "b"): 11, ("u", "a"): 12, ("u", "c"): 1, ("u", "d"): 2, ("v", "a"): 6, ("v", "z"): None}
